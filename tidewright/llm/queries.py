@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, quality, sharding, simhash
+from . import decontam, html, packing, pst, quality, sharding, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_packing": packing.op8_packing,
+    "op9_lm_scoring": pst.op9_lm_scoring,
+    "op10_html": html.op10_html,
 }
 
 ORACLE_SQL = {"op7_quality_rules": quality.OP7_SQL}
