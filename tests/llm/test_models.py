@@ -133,6 +133,15 @@ def test_tree_learns_its_table():
     assert all(html.decide(tree, r[:-1].tolist()) == bool(r[-1]) for r in html.LABELLED)
 
 
+def test_place_decides_inside_an_article():
+    tree = html.grow(html.LABELLED[:, :-1], html.LABELLED[:, -1])
+    rng = np.random.default_rng(2)
+    for _ in range(3000):
+        rest = [float(rng.choice([0, 1, 2, 5, 9, 20, 60, 300])) if i % 2 == 0 else float(rng.choice([0, 0.1, 0.5, 1])) for i in range(6)]
+        heading = float(rng.integers(2))
+        assert html.decide(tree, [1, 0, heading, *rest]) and not html.decide(tree, [1, 1, heading, *rest]) and not html.decide(tree, [0, 1, heading, *rest])
+
+
 def test_pages(spark):
     got = {r.page_id: r for r in html.op10_html(spark, SF01).collect()}
     pages = pq.read_table(f"{SF01}/pages.parquet").to_pylist()

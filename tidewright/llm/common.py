@@ -76,33 +76,42 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [doc_id.alias("_id"), F.xxhash64(text).alias("_th")]
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row; a plain reference would be computed anew
+    at each use, and within a lambda for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def running(lengths: Column, block: int = 256) -> Column:
-    """Exclusive running sums of an array of integers.
+    """Exclusive running sums of an array of longs.
 
     In two levels (sums of blocks, then within a block), as `aggregate` copies its array at
     every step: the time grows as n * block rather than with the square of n.
     """
-    starts = F.aggregate(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(block)),
-            lambda i: F.aggregate(F.slice(lengths, i + 1, F.lit(block)), F.lit(0).cast("long"), lambda a, x: a + x),
-        ),
-        F.array(F.lit(0).cast("long")),
-        lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)),
-    )
-    inner = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(block)),
-        lambda i: F.slice(
-            F.aggregate(
-                F.slice(lengths, i + 1, F.lit(block)),
-                F.array(F.element_at(starts, (i / block).cast("int") + 1)),
-                lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)),
+    zero = F.lit(0).cast("long")
+
+    def sums(part: Column, first: Column) -> Column:
+        """first, first + part[0], ...: one longer than the part."""
+        return F.aggregate(part, F.array(first), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    def inner(x: Column) -> Column:
+        begins = F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(block))
+        totals = F.transform(begins, lambda i: F.aggregate(F.slice(x, i, F.lit(block)), zero, lambda a, v: a + v))
+        return let(
+            sums(totals, zero),
+            lambda starts: F.slice(
+                F.flatten(
+                    F.transform(
+                        begins,
+                        lambda i, k: let(F.slice(x, i, F.lit(block)), lambda part: F.slice(sums(part, F.get(starts, k)), F.lit(1), F.size(part))),
+                    )
+                ),
+                F.lit(1),
+                F.size(x),
             ),
-            F.lit(1),
-            F.least(F.lit(block), F.size(lengths) - i),
-        ),
-    )
-    return F.when(F.size(lengths) == 0, F.array().cast("array<long>")).otherwise(F.flatten(inner))
+        )
+
+    return let(lengths, inner)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -111,19 +120,25 @@ def matches(text: Column, pattern: str) -> Column:
     The text between matches comes from `split` with the same pattern, so the running sums of
     the lengths of both are the places; no user function is needed.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    none = F.array().cast("array<struct<s:bigint,e:bigint,m:string>>")
 
     def placed(found: Column, gaps: Column) -> Column:
-        size = F.zip_with(gaps, found, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
-        return F.transform(
-            F.arrays_zip(running(F.slice(size, F.lit(1), F.size(found))).alias("at"), gaps.alias("gap"), found.alias("m")),
-            lambda z: F.struct(
-                (z["at"] + F.length(z["gap"])).alias("s"),
-                (z["at"] + F.length(z["gap"]) + F.length(z["m"])).alias("e"),
-                z["m"].alias("m"),
+        size = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
+        return let(
+            running(size),
+            lambda at: F.transform(
+                found,
+                lambda m, i: let(
+                    F.get(at, i) + F.length(F.get(gaps, i)),
+                    lambda s: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")),
+                ),
             ),
         )
 
-    none = F.array().cast("array<struct<s:bigint,e:bigint,m:string>>")
-    return F.when(F.size(found) <= 0, none).otherwise(F.filter(placed(found, gaps), lambda z: z["m"].isNotNull()))
+    def body(t: Column) -> Column:
+        return let(
+            F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
+            lambda found: F.when(F.size(found) <= 0, none).otherwise(let(F.split(t, pattern, -1), lambda gaps: placed(found, gaps))),
+        )
+
+    return let(text, body)

@@ -161,6 +161,8 @@ LABELLED = np.array([
     (1, 0, 1, 12, 0.0, 8, 0.0, 30, 0.0, 1), (1, 0, 1, 1, 0.0, 80, 0.0, 60, 0.0, 1), (1, 0, 0, 1, 0.0, 50, 0.0, 70, 0.0, 1), (1, 0, 0, 2, 0.0, 12, 0.0, 1, 0.0, 1),
     (1, 0, 0, 30, 0.0, 12, 0.0, 90, 0.0, 1), (1, 0, 0, 120, 0.0, 60, 0.0, 80, 0.0, 1), (1, 0, 0, 600, 0.0, 40, 0.0, 9, 0.0, 1), (1, 0, 0, 45, 0.2, 70, 0.0, 20, 0.1, 1),
     (1, 0, 0, 6, 0.5, 40, 0.0, 55, 0.0, 1), (1, 0, 0, 4, 0.0, 1, 1.0, 30, 0.0, 1), (1, 0, 0, 5, 0.0, 60, 0.0, 9, 0.0, 1), (1, 0, 0, 8, 1.0, 60, 0.0, 70, 0.0, 1),
+    (1, 0, 0, 1, 0.0, 0, 0.0, 0, 0.0, 1), (1, 0, 0, 3, 0.0, 0, 0.0, 0, 0.0, 1), (1, 0, 0, 2, 1.0, 1, 1.0, 1, 1.0, 1), (1, 0, 0, 4, 0.0, 2, 1.0, 2, 1.0, 1),
+    (1, 0, 1, 2, 0.0, 1, 1.0, 1, 1.0, 1), (1, 0, 0, 5, 0.0, 1, 0.0, 0, 0.0, 1), (1, 0, 0, 1, 1.0, 0, 0.0, 2, 1.0, 1), (1, 0, 0, 1, 0.0, 3, 0.0, 3, 0.0, 1),
     (1, 1, 0, 20, 0.0, 80, 0.0, 15, 0.0, 0), (1, 1, 0, 3, 0.0, 70, 0.0, 22, 0.0, 0), (1, 1, 0, 90, 0.0, 100, 0.0, 60, 0.0, 0), (1, 1, 1, 1, 0.0, 90, 0.0, 12, 0.0, 0),
     (1, 1, 0, 5, 1.0, 60, 0.0, 4, 1.0, 0), (1, 1, 0, 12, 0.0, 5, 0.0, 80, 0.0, 0),
     (0, 0, 0, 60, 0.0, 12, 0.0, 80, 0.0, 1), (0, 0, 0, 150, 0.0, 60, 0.0, 40, 0.0, 1), (0, 0, 0, 40, 0.1, 70, 0.0, 60, 0.0, 1), (0, 0, 1, 9, 0.0, 2, 1.0, 60, 0.0, 1),

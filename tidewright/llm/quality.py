@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, BLANK_CHARS, words
+from .common import BLANK, BLANK_CHARS, let, words
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -40,17 +40,6 @@ RULES = (
 )
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Base measures of a whole text; null counts as an empty text."""
-    body = F.coalesce(text, F.lit(""))
-    return {
-        "_words": words(text),
-        "_lines": F.filter(F.split(body, "\n", -1), lambda x: x.rlike(f"[^{BLANK}]")),
-        "word_chars": F.length(F.translate(body, BLANK_CHARS, "")).cast("long"),
-        "n_symbols": (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("long"),
-    }
-
-
 def repeated_words(w: Column) -> Column:
     """Words that lie in 3-word windows found twice or more, the first ones included.
 
@@ -86,54 +75,71 @@ def repeated_words(w: Column) -> Column:
             )
         )
 
-    once = F.transform(F.array(F.sort_array(windows)), lambda s: covered(twice(s)))[0]
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(once)
+    return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(F.sort_array(windows), lambda s: covered(twice(s))))
+
+
+def judgement(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """One struct of a text's measures and verdicts. Everything used twice is bound once, so a
+    filter on the verdict that moves below a projection takes one expression with it."""
 
+    def counted(body: Column, w: Column, lines: Column) -> Column:
+        long = lambda c: c.cast("long")
+        return F.struct(
+            long(F.size(w)).alias("n_words"),
+            long(F.length(F.translate(body, BLANK_CHARS, ""))).alias("word_chars"),
+            long(F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).alias("n_symbols"),
+            long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+            long(F.size(lines)).alias("n_lines"),
+            long(F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS)))).alias("n_stop"),
+        )
+
+    def judged(m: Column) -> Column:
+        n, lines = F.greatest(m["n_words"], F.lit(1)), F.greatest(m["n_lines"], F.lit(1))
+        measure = {
+            "n_words": m["n_words"].cast("double"),
+            "repeat_ratio": m["n_repeat_words"] / n,
+            "symbol_ratio": m["n_symbols"] / n,
+            "stop_ratio": m["n_stop"] / n,
+            "dup_line_ratio": m["n_dup_lines"] / lines,
+            "mean_word": m["word_chars"] / n,
+        }
+        broken = []
+        for r in rules:
+            low = measure[r.measure] < r.low if r.low is not None else F.lit(False)
+            high = measure[r.measure] > r.high if r.high is not None else F.lit(False)
+            broken.append(F.when(low | high, r.name))
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop")
+        return let(
+            F.filter(F.array(F.lit(None).cast("string"), *broken), lambda x: x.isNotNull()),
+            lambda failed: let(
+                (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"]),
+                lambda base: F.struct(*[m[k].alias(k) for k in names], base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), failed.alias("failed_rules")),
+            ),
+        )
 
-def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", prefix: str = "") -> DataFrame:
+    has_word = lambda x: x.rlike(f"[^{BLANK}]")
+    return let(
+        F.coalesce(text, F.lit("")),
+        lambda body: let(words(body), lambda w: let(F.filter(F.split(body, "\n", -1), has_word), lambda lines: let(counted(body, w, lines), judged))),
+    )
+
+
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Add the measures, `base_failed`, `failed_rules` and `kept` to every row.
 
     Null and empty texts have no words, so they fail the length rule and are not kept. Columns
-    of the input are kept but for those named as the ones added, which are replaced (give
-    `prefix` to avoid that). Repeated rows are judged alike; an empty table gives no rows.
+    of the input stay, but for those named as the ones added, which are replaced. Repeated rows
+    are judged alike; an empty table gives no rows.
     """
-    m = measures(F.col(text))
-    held = docs.withColumns({f"{prefix}{k}": v for k, v in m.items()})
-    p = lambda name: F.col(prefix + name)
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    held = held.withColumns(
-        {
-            f"{prefix}n_words": F.size(p("_words")).cast("long"),
-            f"{prefix}n_lines": F.size(p("_lines")).cast("long"),
-            f"{prefix}n_dup_lines": (F.size(p("_lines")) - F.size(F.array_distinct(p("_lines")))).cast("long"),
-            f"{prefix}n_repeat_words": repeated_words(p("_words")),
-            f"{prefix}n_stop": F.size(F.filter(p("_words"), lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
-        }
-    ).drop(f"{prefix}_words", f"{prefix}_lines")
-    n, lines = F.greatest(p("n_words"), F.lit(1)), F.greatest(p("n_lines"), F.lit(1))
-    ratio = {
-        "n_words": p("n_words").cast("double"),
-        "repeat_ratio": p("n_repeat_words") / n,
-        "symbol_ratio": p("n_symbols") / n,
-        "stop_ratio": p("n_stop") / n,
-        "dup_line_ratio": p("n_dup_lines") / lines,
-        "mean_word": p("word_chars") / n,
-    }
-    fails = F.lit(False)
-    for r in rules:
-        x = ratio[r.measure]
-        fails = fails | (x < r.low if r.low is not None else F.lit(False)) | (x > r.high if r.high is not None else F.lit(False))
-    named = F.filter(
-        F.array(
-            *[
-                F.when((ratio[r.measure] < r.low if r.low is not None else F.lit(False)) | (ratio[r.measure] > r.high if r.high is not None else F.lit(False)), r.name)
-                for r in rules
-            ]
-        ),
-        lambda x: x.isNotNull(),
-    )
-    base = (p("n_words") < 50) | (100 * p("n_repeat_words") > 50 * p("n_words"))
-    return held.withColumns({f"{prefix}base_failed": base, f"{prefix}kept": ~(base | fails), f"{prefix}failed_rules": named})
+    held = docs.withColumn("_judged", judgement(F.col(text), rules))
+    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "base_failed", "kept", "failed_rules")
+    return held.select(*[c for c in docs.columns if c not in added], *[F.col("_judged")[c].alias(c) for c in added])
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows that pass all rules, with the columns they came with."""
+    return docs.where(judgement(F.col(text), rules)["kept"])
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
