@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, let, materialize, row_key
+from .common import let, materialize, row_key
 
 #: Lines over which the rolling hash that sets a border runs, and the mean number of lines between borders.
 WINDOW, MEAN_LINES = 2, 3
@@ -58,44 +60,76 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
     return out
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    """_id, _th and one row a chunk: h, lo, hi."""
+#: Bits of the filter of repeated hashes for each of them, and the most it may have (16 MB). A
+#: full filter lets more chunks pass, which costs shuffle but changes no result.
+FILTER_RATIO, FILTER_BITS = 16, 1 << 27
+
+
+def _hashes(docs: DataFrame) -> DataFrame:
+    """One row a chunk: h."""
+
+    def run(batches):
+        for batch in batches:
+            h = [c[0] for t in batch.column(0).cast(pa.binary()).to_pylist() for c in chunks(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64))], names=["h"])
+
+    return docs.select("t").mapInArrow(run, "h long")
+
+
+def _filter(repeated: DataFrame) -> np.ndarray:
+    """Bits of the repeated hashes, a power of two of them in number."""
+    n = repeated.count()
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (FILTER_RATIO * n).bit_length()))
+    slot = F.col("h").bitwiseAND(F.lit(bits - 1)) + 1
+    rows = repeated.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()  # at most FILTER_BITS bits
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        m = np.frombuffer(bytes(r.m), np.uint8)
+        at = (r.b - 1) * len(m)
+        out[at : at + len(m)] = m[: len(out) - at]
+    return out
+
+
+def _held(docs: DataFrame, passing: np.ndarray) -> DataFrame:
+    """_id, _th, h, lo, hi, bytes and their digest d of the chunks whose hash passes the filter."""
+    shipped = docs.sparkSession.sparkContext.broadcast(passing)
 
     def run(batches):
+        bits = shipped.value
+        mask = len(bits) * 8 - 1
         for batch in batches:
-            rows = [chunks(t) for t in batch.column("t").cast(pa.binary()).to_pylist()]
-            at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-            flat = [x for r in rows for x in r]
-            h = np.array([x[0] for x in flat], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(pa.array(at)), batch.column("_th").take(pa.array(at)), pa.array(h, pa.int64()), pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.int32())],
-                names=["_id", "_th", "h", "lo", "hi"],
-            )
+            at, rows = [], []
+            for k, t in enumerate(batch.column("t").cast(pa.binary()).to_pylist()):
+                lines = None
+                for h, lo, hi in chunks(t):
+                    slot = h & mask
+                    if bits[slot >> 3] >> (slot & 7) & 1:
+                        lines = lines or t.split(b"\n")
+                        body = b"\n".join(x for x in lines[lo:hi] if x.split())
+                        at.append(k)
+                        rows.append((h - (1 << 64) if h >> 63 else h, lo, hi, body, hashlib.sha256(body).digest()))
+            h, lo, hi, body, d = map(list, zip(*rows)) if rows else ([], [], [], [], [])
+            cols = [batch.column("_id").take(pa.array(at, pa.int64())), batch.column("_th").take(pa.array(at, pa.int64())), pa.array(h, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(body, pa.binary()), pa.array(d, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["_id", "_th", "h", "lo", "hi", "bytes", "d"])
 
     kind = dict(docs.dtypes)["_id"]
-    return docs.mapInArrow(run, f"_id {kind}, _th long, h long, lo int, hi int")
+    return docs.mapInArrow(run, f"_id {kind}, _th long, h long, lo int, hi int, bytes binary, d binary")
 
 
 def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """_id, _th, and `cuts`: array<struct<lo,hi>> of the line ranges to remove from a document.
 
     A chunk that occurs twice or more, anywhere, stays where it comes first (by id, hash of the
-    text, line) and is removed elsewhere. Chunks are found by their hashes; those of one hash are
-    then grouped by their bytes, so only equal bytes count as repeats.
+    text, line) and is removed elsewhere. A first pass counts hashes; in a second one only chunks
+    that may be repeated leave their documents, and are grouped by their bytes, so only equal
+    bytes count as repeats. The digest just brings a group's first place back to its members.
     """
     slim = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(text).alias("t"))
-    cut = materialize(_cut(slim).distinct(), "line-chunks")
-    repeated = cut.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    # Only chunks of repeated hashes take part from here on, with their documents' texts.
-    some = cut.join(repeated, "h").groupBy("_id", "_th").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("c"))
-    some = some.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "c")
-    one = slim.join(some, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")))
-    part = lambda v, x: F.array_join(F.filter(F.slice(v, x["lo"] + 1, x["hi"] - x["lo"]), lambda y: y.rlike(f"[^{BLANK}]")), "\n")
-    with_bytes = let(F.split("t", "\n", -1), lambda v: F.transform("c", lambda x: F.struct(x["h"].alias("h"), x["lo"].alias("lo"), x["hi"].alias("hi"), part(v, x).alias("bytes"))))
-    held = one.select("_id", "_th", F.inline(with_bytes))
+    repeated = materialize(_hashes(slim).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-hashes")
+    held = materialize(_held(slim, _filter(repeated)), "line-chunks")
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("_id"), F.col("_th").alias("_th"), F.col("lo").alias("lo"))
-    same = held.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", F.sha2(F.col("bytes").cast("binary"), 256).alias("d"), "first")
-    again = held.select("_id", "_th", "h", "lo", "hi", F.sha2(F.col("bytes").cast("binary"), 256).alias("d")).withColumn("place", place).join(same, ["h", "d"]).where(F.col("place") != F.col("first"))
+    same = held.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.first("d").alias("d"), F.count("*").alias("n")).where("n > 1").select("h", "d", "first")
+    again = held.drop("bytes").withColumn("place", place).join(same, ["h", "d"]).where(F.col("place") != F.col("first"))
     return again.groupBy("_id", "_th").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
 
 
@@ -106,7 +140,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     in id and text are one document, whose chunks do not repeat each other.
     """
     cuts = materialize(find_repeats(docs, text, doc_id).select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), F.col("cuts").alias("_cuts")), "line-cuts")
-    joined = docs.join(cuts, docs[doc_id].eqNullSafe(cuts["_i"]) & (F.xxhash64(docs[text]) == cuts["_t"]), "left")
+    joined = docs.hint("merge").join(cuts, docs[doc_id].eqNullSafe(cuts["_i"]) & (F.xxhash64(docs[text]) == cuts["_t"]), "left")
     gone = F.flatten(F.transform("_cuts", lambda c: F.sequence(c["lo"], c["hi"] - 1)))
     kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
     left = F.array_join(let(F.split(docs[text], "\n", -1), kept), "\n")

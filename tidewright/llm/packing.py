@@ -21,7 +21,7 @@ SLACK = 8
 #: Bins that one task packs at a time, and the fan-in of the tree of merges.
 GROUP = 100_000
 #: Words whose ids a task remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 # Texts of these characters only are split by the short pattern below just as the tokenizer does
 # it after lowering; others go to the tokenizer in whole.
@@ -50,7 +50,7 @@ class Encoder:
         out, at = [], 0
         while at < len(texts):
             split, size, begin = [], 0, at
-            while at < len(texts) and size < 4_000_000:  # characters at a time
+            while at < len(texts) and size < 1_000_000:  # characters at a time
                 t = texts[at] or ""
                 split.append(None if _PLAIN.search(t) else _PART.findall(t.lower()))
                 size, at = size + len(t), at + 1
