@@ -1,17 +1,218 @@
-"""The engine's registered queries and their SQL."""
+"""The engine's registered queries and their SQL.
+
+The panel of most queries: daily order totals by priority, on a full daily spine, gaps filled
+forward. Results are rounded to 4 decimals on both sides.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewright.functions import dates
+from tidewright.operators import detect, forecast, metrics, transforms
+from tidewright.operators.impute import METHODS, impute
+from tidewright.sources import panel as source
 
-def queries() -> dict:
-    return {}
+HORIZON = 28
 
+RAW = """raw AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS ds, ROUND(SUM(o_totalprice), 2) AS y FROM orders GROUP BY 1, 2),
+spine AS (SELECT s.series_id, d.ds FROM (SELECT DISTINCT series_id FROM raw) s, (SELECT CAST(UNNEST(generate_series(mn, mx, INTERVAL 1 DAY)) AS DATE) AS ds FROM (SELECT MIN(ds)::TIMESTAMP AS mn, MAX(ds)::TIMESTAMP AS mx FROM raw)) d),
+panel AS (SELECT spine.series_id, spine.ds, raw.y FROM spine LEFT JOIN raw ON spine.series_id = raw.series_id AND spine.ds = raw.ds)"""
+_W = "PARTITION BY series_id ORDER BY ds"
+_LAST = f"LAST_VALUE(y IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_NEXT = f"FIRST_VALUE(y IGNORE NULLS) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+_P = "OVER (PARTITION BY series_id)"
+FILLED = f"{RAW}, f AS (SELECT series_id, ds, COALESCE({_LAST}, {_NEXT}) AS y FROM panel)"
+SPLIT = f"""{FILLED}, n AS (SELECT *, ROW_NUMBER() OVER ({_W} DESC) AS rn FROM f), train AS (SELECT series_id, ds, y, rn - {HORIZON} AS rn FROM n WHERE rn > {HORIZON}),
+test AS (SELECT series_id, {HORIZON} + 1 - rn AS step, y FROM n WHERE rn <= {HORIZON}), steps AS (SELECT CAST(UNNEST(range(1, {HORIZON + 1})) AS INTEGER) AS step),
+wd AS (SELECT series_id, quantile_cont(y, 0.9) - quantile_cont(y, 0.5) AS up, quantile_cont(y, 0.5) - quantile_cont(y, 0.1) AS lo FROM train GROUP BY 1)"""
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impute(source.orders_daily(spark, sf_dir), "ffill")
+
+
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return source.holdout(_filled(spark, sf_dir), HORIZON)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """-0.0 and rounding noise made alike."""
+    return df.select(*[(F.round(c, 4) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _r(x: str, name: str) -> str:
+    return f"ROUND({x}, 4) + 0.0 AS {name}"
+
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _register(name: str, query, sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _rounded(query(spark, sf_dir))
+    if sql:
+        SQL[name] = sql
+
+
+_register("panel_regularise", source.orders_daily, f"WITH {RAW} SELECT series_id, ds, {_r('y', 'y')} FROM panel")
+_register(
+    "panel_holdout",
+    lambda s, d: _split(s, d)[1].select("series_id", "ds", "step", "y"),
+    f"WITH {FILLED}, n AS (SELECT *, ROW_NUMBER() OVER ({_W} DESC) AS rn FROM f) SELECT series_id, ds, CAST({HORIZON} + 1 - rn AS INTEGER) AS step, {_r('y', 'y')} FROM n WHERE rn <= {HORIZON}",
+)
+
+
+def _wide(spark, sf_dir):
+    return source.wide_from_long(_filled(spark, sf_dir), ["1-URGENT", "2-HIGH"]).select("ds", F.col("1-URGENT").alias("urgent"), F.col("2-HIGH").alias("high"))
+
+
+_register("panel_wide", _wide, f"WITH {FILLED} SELECT ds, {_r(chr(39).join(['MAX(CASE WHEN series_id = ', '1-URGENT', ' THEN y END)']), 'urgent')}, {_r(chr(39).join(['MAX(CASE WHEN series_id = ', '2-HIGH', ' THEN y END)']), 'high')} FROM f GROUP BY ds")
+_register("panel_long", lambda s, d: source.long_from_wide(_wide(s, d), "ds"), f"WITH {FILLED} SELECT CASE series_id WHEN '1-URGENT' THEN 'urgent' ELSE 'high' END AS series_id, ds, {_r('y', 'y')} FROM f WHERE series_id IN ('1-URGENT', '2-HIGH')")
+
+_BETWEEN = f"""i AS (SELECT *, ROW_NUMBER() OVER ({_W}) AS i FROM panel), k AS (SELECT *, MAX(CASE WHEN y IS NOT NULL THEN i END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS i0,
+MIN(CASE WHEN y IS NOT NULL THEN i END) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS i1, {_LAST} AS y0, {_NEXT} AS y1 FROM i)"""
+_IMPUTE_SQL = {
+    "ffill": f"COALESCE({_LAST}, {_NEXT})",
+    "bfill": f"COALESCE({_NEXT}, {_LAST})",
+    "zero": "COALESCE(y, 0)",
+    "mean": f"COALESCE(y, AVG(y) {_P})",
+    "median": f"COALESCE(y, MEDIAN(y) {_P})",
+    "ffill_mean_biased": f"COALESCE(y, (COALESCE({_LAST}, {_NEXT}) + AVG(y) {_P}) / 2)",
+    "rolling_mean": f"COALESCE(y, AVG(y) OVER ({_W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), {_LAST}, {_NEXT})",
+}
+for _m in METHODS:
+    _sql = f"WITH {RAW} SELECT series_id, ds, {_r(_IMPUTE_SQL[_m], 'y')} FROM panel" if _m in _IMPUTE_SQL else f"WITH {RAW}, {_BETWEEN} SELECT series_id, ds, {_r('COALESCE(y, y0 + (y1 - y0) * (i - i0) / NULLIF(i1 - i0, 0), y0, y1)', 'y')} FROM k"
+    _register(f"impute_{_m}", lambda s, d, m=_m: impute(source.orders_daily(s, d), m), _sql)
+
+_TRANSFORM_SQL = {
+    "standard": f"(y - AVG(y) {_P}) / STDDEV_POP(y) {_P}",
+    "min_max": f"(y - MIN(y) {_P}) / (MAX(y) {_P} - MIN(y) {_P})",
+    "max_abs": f"y / MAX(ABS(y)) {_P}",
+    "robust": f"(y - MEDIAN(y) {_P}) / (quantile_cont(y, 0.75) {_P} - quantile_cont(y, 0.25) {_P})",
+    "clip_outliers": f"GREATEST(LEAST(y, AVG(y) {_P} + 3 * STDDEV_SAMP(y) {_P}), AVG(y) {_P} - 3 * STDDEV_SAMP(y) {_P})",
+    "difference": f"COALESCE(y - LAG(y) OVER ({_W}), LEAD(y) OVER ({_W}) - y)",
+    "pct_change": f"COALESCE(y / LAG(y) OVER ({_W}) - 1, 0)",
+    "cumsum": f"SUM(y) OVER ({_W} ROWS UNBOUNDED PRECEDING)",
+    "rolling_mean": f"AVG(y) OVER ({_W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)",
+    "log": f"LN(y + GREATEST(0, 1 - MIN(y) {_P}))",
+    "positive_shift": f"y - LEAST(0, MIN(y) {_P}) + 1",
+    "round": "ROUND(y / 1000) * 1000",
+    "center_last": f"y - FIRST_VALUE(y) OVER ({_W} DESC)",
+    "detrend": f"y - (REGR_SLOPE(y, x) {_P} * x + REGR_INTERCEPT(y, x) {_P})",
+    "discretize": f"LEAST(FLOOR((y - MIN(y) {_P}) * 10 / (MAX(y) {_P} - MIN(y) {_P})), 9)",
+    "sine_trend_base": f"SIN(2 * PI() * x / 365.25) * STDDEV_POP(y) {_P} + AVG(y) {_P}",
+}
+for _m in transforms.TRANSFORMS:
+    _register(f"transform_{_m}", lambda s, d, m=_m: transforms.transform(_filled(s, d), m), f"WITH {FILLED}, x AS (SELECT *, CAST(ROW_NUMBER() OVER ({_W}) - 1 AS DOUBLE) AS x FROM f) SELECT series_id, ds, {_r(_TRANSFORM_SQL[_m], 'y')} FROM x")
+_register(
+    "transform_seasonal_difference",
+    lambda s, d: transforms.seasonal_difference(_filled(s, d)),
+    f"WITH {FILLED}, b AS (SELECT *, (ROW_NUMBER() OVER ({_W} DESC) - 1) % 7 AS b FROM f) SELECT series_id, ds, {_r('y - AVG(y) OVER (PARTITION BY series_id, b)', 'y')} FROM b",
+)
+_register("transform_slice", lambda s, d: transforms.slice_tail(_filled(s, d), 100), f"WITH {FILLED} SELECT series_id, ds, {_r('y', 'y')} FROM (SELECT *, ROW_NUMBER() OVER ({_W} DESC) AS rn FROM f) WHERE rn <= 100")
+
+
+def _undo(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    w = transforms.S().orderBy("step")
+    last = train.groupBy("series_id").agg(F.max_by("y", "ds").alias("last"))
+    changes = test.join(last, "series_id").select("series_id", "step", (F.col("y") - F.coalesce(F.lag("y").over(w), F.col("last"))).alias("y"))
+    return transforms.undo_difference(changes, last)
+
+
+_register("inverse_difference", _undo, f"WITH {SPLIT} SELECT series_id, CAST(step AS INTEGER) AS step, {_r('y', 'y')} FROM test")
+
+_BOUNDS = lambda k: f"{_r(f'fc - {k} * lo', 'lower')}, {_r(f'fc + {k} * up', 'upper')}"
+_FORECAST = "CAST(step AS INTEGER) AS step, " + _r("fc", "forecast")
+_SEASON = f"b AS (SELECT *, 6 - (rn - 1) % 7 AS b FROM train), p AS (SELECT series_id, b, ARG_MIN(y, rn) AS lastvalue, AVG(y) AS mean, MEDIAN(y) AS median FROM b GROUP BY 1, 2)"
+_forecasts = {
+    "last_value": (forecast.last_value, f"SELECT series_id, {_FORECAST}, {_BOUNDS(0.9)} FROM (SELECT series_id, ARG_MAX(y, ds) AS fc FROM train GROUP BY 1) JOIN wd USING (series_id), steps"),
+    "average_mean": (forecast.average_value, f"SELECT series_id, {_FORECAST}, {_BOUNDS(1)} FROM (SELECT series_id, AVG(y) AS fc FROM train GROUP BY 1) JOIN wd USING (series_id), steps"),
+    "average_median": (partial(forecast.average_value, how="median"), f"SELECT series_id, {_FORECAST}, {_BOUNDS(1)} FROM (SELECT series_id, MEDIAN(y) AS fc FROM train GROUP BY 1) JOIN wd USING (series_id), steps"),
+    "constant": (forecast.constant, "SELECT series_id, step, 0.0::DOUBLE AS forecast, 0.0::DOUBLE AS lower, 0.0::DOUBLE AS upper FROM wd, steps"),
+}
+for _k, (_f, _sql) in _forecasts.items():
+    _register(f"forecast_{_k}", lambda s, d, f=_f: f(_split(s, d)[0], HORIZON), f"WITH {SPLIT} {_sql}")
+for _k in ("lastvalue", "mean", "median"):
+    _register(
+        f"forecast_seasonal_{_k}",
+        lambda s, d, k=_k: forecast.seasonal_naive(_split(s, d)[0], HORIZON, how=k),
+        f"WITH {SPLIT}, {_SEASON} SELECT series_id, {_FORECAST}, {_BOUNDS(1)} FROM (SELECT series_id, step, {_k} AS fc FROM p JOIN steps ON (step - 1) % 7 = b) JOIN wd USING (series_id)",
+    )
+_register(
+    "forecast_motif",
+    lambda s, d: forecast.motif(_split(s, d)[0], HORIZON),
+    f"""WITH {SPLIT}, a AS (SELECT series_id, LIST(y ORDER BY ds) AS v FROM train GROUP BY 1), w AS (SELECT series_id, v, i, ROUND(list_sum(list_transform(range(14), lambda j: ABS(v[i + j] - v[len(v) - 13 + j]))), 4) AS d
+FROM (SELECT series_id, v, UNNEST(range(1, len(v) - 14 - {HORIZON} + 2)) AS i FROM a)), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY d, i) AS r FROM w),
+p AS (SELECT series_id, step, v[i + 13 + step] AS y FROM r, steps WHERE r <= 5)
+SELECT series_id, CAST(step AS INTEGER) AS step, {_r('AVG(y)', 'forecast')}, {_r('quantile_cont(y, 0.05)', 'lower')}, {_r('quantile_cont(y, 0.95)', 'upper')} FROM p GROUP BY 1, 2""",
+)
+_register(
+    "constraint_dampening",
+    lambda s, d: forecast.dampen(forecast.seasonal_naive(_split(s, d)[0], HORIZON)).select("series_id", "step", "forecast"),
+    f"""WITH {SPLIT}, {_SEASON}, q AS (SELECT series_id, step, lastvalue AS fc FROM p JOIN steps ON (step - 1) % 7 = b), c AS (SELECT *, COALESCE((fc - LAG(fc) OVER (PARTITION BY series_id ORDER BY step)) * POW(0.98, step - 2), 0) AS c FROM q)
+SELECT series_id, CAST(step AS INTEGER) AS step, {_r('FIRST_VALUE(fc) OVER w + SUM(c) OVER w', 'forecast')} FROM c WINDOW w AS (PARTITION BY series_id ORDER BY step ROWS UNBOUNDED PRECEDING)""",
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Seasonal naive forecasts of the last four weeks of each series, scored."""
+    train, test = _split(spark, sf_dir)
+    return _rounded(metrics.evaluate(forecast.seasonal_naive(train, HORIZON), test, train))
+
+
+_M = {
+    "smape": "200 * SUM(ABS(e) / NULLIF(ABS(fc) + ABS(y), 0)) / COUNT(y)", "mae": "AVG(ABS(e))", "rmse": "SQRT(AVG(e * e))", "made": "AVG(ABS(da - df)) / MAX(scaler)", "mate": "ABS(SUM(e))",
+    "underestimate": "SUM(CASE WHEN e <= 0 THEN e ELSE 0 END)", "overestimate": "SUM(CASE WHEN e > 0 THEN e ELSE 0 END)", "mle": "AVG(CASE WHEN e > 0 THEN LN(1 + ABS(e)) ELSE ABS(e) END)", "imle": "AVG(CASE WHEN e < 0 THEN LN(1 + ABS(e)) ELSE ABS(e) END)",
+    "spl": "AVG(CASE WHEN y >= u THEN 0.9 * (y - u) ELSE (1 - 0.9) * (u - y) END + CASE WHEN y >= l THEN (1 - 0.9) * (y - l) ELSE 0.9 * (l - y) END) / MAX(scaler)",
+    "containment": "AVG((y BETWEEN l AND u)::INT)", "contour": "AVG(((da >= 0) = (df > 0))::INT)", "maxe": "MAX(ABS(e))", "oda": "AVG((SIGN(fc - last) = SIGN(y - last))::INT)",
+    "ewmae": "AVG(ABS(e) * POW(10, (step - 1) / 27.0))", "wasserstein": "AVG(ABS(cf - ca)) / MAX(scaler)",
+}
+_register(
+    "flagship_metrics",
+    flagship,
+    f"""WITH {SPLIT}, {_SEASON}, q AS (SELECT series_id, step, lastvalue AS fc FROM p JOIN steps ON (step - 1) % 7 = b), t AS (SELECT series_id, rn, y, ABS(y - LEAD(y) OVER (PARTITION BY series_id ORDER BY rn)) AS d FROM train WHERE rn <= 100),
+sc AS (SELECT series_id, AVG(d) AS scaler, ARG_MIN(y, rn) AS last FROM t GROUP BY 1), j AS (SELECT series_id, step, fc, y, fc - lo AS l, fc + up AS u, scaler, last, fc - y AS e FROM q JOIN test USING (series_id, step) JOIN wd USING (series_id) JOIN sc USING (series_id)),
+k AS (SELECT *, y - COALESCE(LAG(y) OVER w, last) AS da, fc - COALESCE(LAG(fc) OVER w, last) AS df, SUM(y) OVER w AS ca, SUM(fc) OVER w AS cf FROM j WINDOW w AS (PARTITION BY series_id ORDER BY step ROWS UNBOUNDED PRECEDING))
+SELECT series_id, {", ".join(_r(v, k) for k, v in _M.items())} FROM k GROUP BY series_id""",
+)
+
+_FLAG = "CAST(CASE WHEN {0} THEN -1 ELSE 1 END AS INTEGER) AS anomaly"
+_ANOMALY_SQL = {
+    "zscore": f"SELECT series_id, ds, {_r('s', 'score')}, {_FLAG.format('ABS(s) > 2')} FROM (SELECT *, (y - AVG(y) {_P}) / STDDEV_POP(y) {_P} AS s FROM f)",
+    "rolling_zscore": f"SELECT series_id, ds, {_r('s', 'score')}, {_FLAG.format('ABS(s) > 3')} FROM (SELECT *, (y - AVG(y) OVER w) / NULLIF(STDDEV_SAMP(y) OVER w, 0) AS s FROM f WINDOW w AS ({_W} ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING))",
+    "iqr": f"SELECT series_id, ds, {_r('s', 'score')}, {_FLAG.format('s > 1.5')} FROM (SELECT *, GREATEST(y - quantile_cont(y, 0.75) {_P}, quantile_cont(y, 0.25) {_P} - y, 0) / (quantile_cont(y, 0.75) {_P} - quantile_cont(y, 0.25) {_P}) AS s FROM f)",
+    "mad": f"SELECT series_id, ds, {_r('s', 'score')}, {_FLAG.format('ABS(s) > 3.5')} FROM (SELECT *, 0.6745 * (y - m) / MEDIAN(ABS(y - m)) {_P} AS s FROM (SELECT *, MEDIAN(y) {_P} AS m FROM f))",
+}
+for _m, _sql in _ANOMALY_SQL.items():
+    _register(f"anomaly_{_m}", lambda s, d, m=_m: detect.anomalies(_filled(s, d), m), f"WITH {FILLED} {_sql}")
+_register(
+    "level_shift_differences",
+    lambda s, d: detect.level_differences(_filled(s, d)),
+    f"""WITH {FILLED}, g AS (SELECT *, AVG(y) OVER ({_W} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) - AVG(y) OVER ({_W} ROWS BETWEEN CURRENT ROW AND 27 FOLLOWING) AS g FROM f)
+SELECT series_id, ds, {_r('g', 'diff')}, ABS(g) > 2 * STDDEV_SAMP(g) {_P} AS shift FROM g""",
+)
+_DAYS = "(SELECT DISTINCT CAST(o_orderdate AS DATE) AS ds FROM orders)"
+_days = lambda s, d: source.table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("ds")).distinct()
+_register(
+    "date_parts",
+    lambda s, d: dates.date_parts(_days(s, d)),
+    "SELECT ds, " + ", ".join(f"CAST({v} AS INTEGER) AS {k}" for k, v in {"year": "year(ds)", "quarter": "quarter(ds)", "month": "month(ds)", "week": "weekofyear(ds)", "day": "day(ds)", "dayofyear": "dayofyear(ds)", "weekday": "isodow(ds) - 1", "weekend": "isodow(ds) > 5", "month_start": "day(ds) = 1", "month_end": "last_day(ds) = ds"}.items()) + f" FROM {_DAYS}",
+)
+_register(
+    "date_fourier",
+    lambda s, d: dates.fourier(_days(s, d), 365.25, 3),
+    "SELECT ds, " + ", ".join(_r(f"{f}(2 * PI() * {k} * (ds - DATE '1970-01-01') / 365.25)", f"{f}{k}") for k in (1, 2, 3) for f in ("sin", "cos")) + f" FROM {_DAYS}",
+)
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
