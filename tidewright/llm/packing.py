@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -21,7 +25,7 @@ SLACK = 8
 #: Bins that one task packs at a time, and the fan-in of the tree of merges.
 GROUP = 100_000
 #: Words whose ids a task remembers; the memory is emptied when it is full.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 
 # Texts of these characters only are split by the short pattern below just as the tokenizer does
 # it after lowering; others go to the tokenizer in whole.
@@ -34,17 +38,23 @@ class Encoder:
     word is tokenised once and remembered; the ids are the tokenizer's own."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _learn(self, parts: list[str]) -> None:
+        self.model = self.tokenizer.model
+        # The model's alphabet is bytes as characters: visible ones stand for themselves, the
+        # others for characters from 256 on.
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        of = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in visible)}
+        self.alphabet = {c: "".join(of[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+    def _learn(self, parts) -> None:
+        tokenize, alphabet = self.model.tokenize, self.alphabet
         if len(self.known) + len(parts) > REMEMBERED:
             self.known = {}
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
+        for p in parts:
+            self.known[p] = struct.pack(f"<{len(t)}I", *[x.id for x in t]) if (t := tokenize(p.translate(alphabet))) else b""
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out, at = [], 0
@@ -62,7 +72,7 @@ class Encoder:
             emptied = len(self.known) + len(new) > REMEMBERED
             if emptied:
                 new = {p for parts in split if parts for p in parts}
-            self._learn(list(new))
+            self._learn(new)
             get = self.known.__getitem__
             for k, parts in enumerate(split, begin):
                 out.append(np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes() if parts is None else b"".join(map(get, parts)))
@@ -95,6 +105,15 @@ def best_fit(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
     return bins, offsets, np.array(fills, np.int64)
 
 
+def _give_back() -> None:
+    """Workers are used again; what a task has freed goes back to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, width: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Pieces of at most `width` ids: _id, piece, start, length, ids_crc32, and `_bin`, `_at`,
     `_fill` from best fit among the task's own pieces (in groups of bounded size)."""
@@ -113,18 +132,22 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, width: int, text: str
             return pa.RecordBatch.from_arrays(cols, names=["_id", "start", "length", "ids_crc32", "piece", "_bin", "_at", "_fill"])
 
         kind = pa.int64()
-        for batch in batches:
-            kind = batch.schema.field("_id").type
-            end = np.array([end_id], "<u4").tobytes()
-            for d, ids in zip(batch.column("_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
-                ids += end
-                for k, s in enumerate(range(0, len(ids), 4 * width)):
-                    part = ids[s : s + 4 * width]
-                    held.append((d, k, s // 4, len(part) // 4, zlib.crc32(part)))
-            if len(held) >= GROUP:
-                yield close()
+        end = np.array([end_id], "<u4").tobytes()
+        for whole in batches:
+            kind = whole.schema.field("_id").type
+            for at in range(0, whole.num_rows, 256):  # few texts at a time are Python's
+                batch = whole.slice(at, 256)
+                for d, ids in zip(batch.column("_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+                    ids += end
+                    for k, s in enumerate(range(0, len(ids), 4 * width)):
+                        part = ids[s : s + 4 * width]
+                        held.append((d, k, s // 4, len(part) // 4, zlib.crc32(part)))
+                if len(held) >= GROUP:
+                    yield close()
         if held:
             yield close()
+        del encoder
+        _give_back()
 
     kind = dict(docs.dtypes)[doc_id]
     schema = f"_id {kind}, start long, length long, ids_crc32 long, piece int, _bin long, _at long, _fill long"
