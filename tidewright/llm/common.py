@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +62,29 @@ def _forget(spark: SparkSession) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+#: Rows that Python gets at a time, where the session has Spark's default: texts are long.
+ARROW_ROWS = 512
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) with small batches. Python workers are used again by later
+    stages, so what a task has freed goes back to the system at its end."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(ARROW_ROWS))
+
+    def trimmed(batches):
+        yield from run(batches)
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return df.mapInArrow(trimmed, schema)
+
+
 def words(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text as an array; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANK}]+"), lambda w: w != "")

@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, table
 
 #: ASCII: digits and letters stay, A-Z become a-z, all else parts words. Other bytes stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -196,7 +196,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, n: int = 8, text: str =
     found = docs.withColumns({"_text": F.col(text), "_hit": F.lit(None).cast("binary"), "_n_words": F.lit(0).cast("long"), "_items": F.array().cast("array<string>")})
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     for items in _blocks(benchmark, item, item_text, block_words):
-        found = found.mapInArrow(_scan_block(sc, items, n), ", ".join([*fields, "_text string", _FOUND]))
+        found = found.transform(in_arrow, _scan_block(sc, items, n), ", ".join([*fields, "_text string", _FOUND]))
     return found.drop("_text")
 
 
@@ -243,7 +243,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, max_words:
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     docs_columns = docs.columns
-    return found.mapInArrow(run, docs.schema)
+    return found.transform(in_arrow, run, docs.schema)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -266,4 +266,4 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return found.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.transform(in_arrow, digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

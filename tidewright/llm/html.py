@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[a-zA-Z/!?](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z/!?][^<>]*(?:>|$)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -223,7 +223,7 @@ def extract(pages: DataFrame, html: str = "html", labelled: np.ndarray = LABELLE
             yield pa.RecordBatch.from_arrays([*[batch.column(f) for f in names], pa.array(texts, pa.string())], names=[*names, "_text"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != html]
-    return pages.withColumn("_html", F.col(html)).drop(html).mapInArrow(run, ", ".join([*fields, "_text string"]))
+    return pages.withColumn("_html", F.col(html)).drop(html).transform(in_arrow, run, ", ".join([*fields, "_text string"]))
 
 
 def op10_html(spark, sf_dir: str) -> DataFrame:

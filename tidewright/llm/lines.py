@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, row_key
+from .common import in_arrow, let, materialize, row_key
 
 #: Lines over which the rolling hash that sets a border runs, and the mean number of lines between borders.
 WINDOW, MEAN_LINES = 2, 3
@@ -73,7 +73,7 @@ def _hashes(docs: DataFrame) -> DataFrame:
             h = [c[0] for t in batch.column(0).cast(pa.binary()).to_pylist() for c in chunks(t)]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64))], names=["h"])
 
-    return docs.select("t").mapInArrow(run, "h long")
+    return docs.select("t").transform(in_arrow, run, "h long")
 
 
 def _filter(repeated: DataFrame) -> np.ndarray:
@@ -113,7 +113,7 @@ def _held(docs: DataFrame, passing: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["_id", "_th", "h", "lo", "hi", "bytes", "d"])
 
     kind = dict(docs.dtypes)["_id"]
-    return docs.mapInArrow(run, f"_id {kind}, _th long, h long, lo int, hi int, bytes binary, d binary")
+    return docs.transform(in_arrow, run, f"_id {kind}, _th long, h long, lo int, hi int, bytes binary, d binary")
 
 
 def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

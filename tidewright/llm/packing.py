@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import os
 import re
 import struct
@@ -16,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import in_arrow, materialize, table
 
 #: Tokens a sequence holds.
 WIDTH = 4096
@@ -105,15 +103,6 @@ def best_fit(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
     return bins, offsets, np.array(fills, np.int64)
 
 
-def _give_back() -> None:
-    """Workers are used again; what a task has freed goes back to the system."""
-    gc.collect()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, width: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Pieces of at most `width` ids: _id, piece, start, length, ids_crc32, and `_bin`, `_at`,
     `_fill` from best fit among the task's own pieces (in groups of bounded size)."""
@@ -146,12 +135,10 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, width: int, text: str
                     yield close()
         if held:
             yield close()
-        del encoder
-        _give_back()
 
     kind = dict(docs.dtypes)[doc_id]
     schema = f"_id {kind}, start long, length long, ids_crc32 long, piece int, _bin long, _at long, _fill long"
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).transform(in_arrow, run, schema)
 
 
 def _merge(bins: DataFrame, width: int) -> DataFrame:
@@ -170,7 +157,7 @@ def _merge(bins: DataFrame, width: int) -> DataFrame:
             name[b[::-1]] = ids[part][::-1]  # a merged bin is called like the first that went into it
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[part], name[b], shift, fills[b])], names=["bin", "into", "shift", "fill"])
 
-    return bins.mapInArrow(run, "bin long, into long, shift long, fill long")
+    return bins.transform(in_arrow, run, "bin long, into long, shift long, fill long")
 
 
 def pack(pieces: DataFrame, width: int = WIDTH, slack: int = SLACK, group: int = GROUP) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import in_arrow, materialize, table
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b""  # the token after a text's words; no word is empty
@@ -55,7 +55,7 @@ def count_tokens(docs: DataFrame, text: str) -> DataFrame:
         if seen:
             yield out()
 
-    return docs.select(text).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(text).transform(in_arrow, run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -190,7 +190,7 @@ def _count_level(docs: DataFrame, tree_at, text: str) -> DataFrame:
             c, n = merged()
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], names=["code", "n"])
 
-    return docs.select(text).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(text).transform(in_arrow, run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _suffix_log(tree: Tree, string: tuple[int, ...], symbol: np.ndarray) -> np.ndarray:
@@ -328,7 +328,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, doc_id: str = "doc_id"
 
     kind = dict(docs.dtypes)[doc_id]
     schema = f"row long, _id {kind}, n_tokens long, known long, base double, logs double, rare array<struct<w:binary,n:bigint>>"
-    seen = materialize(docs.select(F.col(doc_id).alias("_id"), text).mapInArrow(run, schema), "pst-scored")
+    seen = materialize(docs.select(F.col(doc_id).alias("_id"), text).transform(in_arrow, run, schema), "pst-scored")
     rare = seen.select("row", F.explode("rare").alias("x")).select("row", F.col("x.w").alias("word"), F.col("x.n").alias("k"))
     few = counts.where(F.col("c") < p_count * tree.total)
     c = F.coalesce("c", F.lit(0))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import in_arrow, materialize, table
 from .components import components
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -51,7 +51,7 @@ def with_fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*[batch.column(f) for f in names], pa.array(fps.view(np.int64), pa.int64())], names=[*names, "_fp"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.withColumn("_text", F.col(text)).mapInArrow(run, ", ".join([*fields, "_fp long"]))
+    return docs.withColumn("_text", F.col(text)).transform(in_arrow, run, ", ".join([*fields, "_fp long"]))
 
 
 def _masks(radius: int, same: int = 2) -> list[int]:
@@ -140,7 +140,7 @@ def _by_pivots(keyed: DataFrame, radius: int) -> DataFrame:
         pairs = np.array(close() if len(held) > 1 else [], np.uint64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], names=["a", "b"])
 
-    return keyed.select("m", "k", "fp").repartition("m", "k").sortWithinPartitions("m", "k").mapInArrow(run, "a long, b long")
+    return keyed.select("m", "k", "fp").repartition("m", "k").sortWithinPartitions("m", "k").transform(in_arrow, run, "a long, b long")
 
 
 def _by_centres(fps: DataFrame, radius: int) -> DataFrame:
