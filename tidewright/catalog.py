@@ -39,21 +39,21 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return source.holdout(_filled(spark, sf_dir), HORIZON)
 
 
-def _rounded(df: DataFrame) -> DataFrame:
+def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """-0.0 and rounding noise made alike."""
-    return df.select(*[(F.round(c, 4) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def _r(x: str, name: str) -> str:
-    return f"ROUND({x}, 4) + 0.0 AS {name}"
+def _r(x: str, name: str, digits: int = 4) -> str:
+    return f"ROUND({x}, {digits}) + 0.0 AS {name}"
 
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def _register(name: str, query, sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: _rounded(query(spark, sf_dir))
+def _register(name: str, query, sql: str | None = None, digits: int = 4) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _rounded(query(spark, sf_dir), digits)
     if sql:
         SQL[name] = sql
 
@@ -85,8 +85,9 @@ _IMPUTE_SQL = {
     "rolling_mean": f"COALESCE(y, AVG(y) OVER ({_W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), {_LAST}, {_NEXT})",
 }
 for _m in METHODS:
-    _sql = f"WITH {RAW} SELECT series_id, ds, {_r(_IMPUTE_SQL[_m], 'y')} FROM panel" if _m in _IMPUTE_SQL else f"WITH {RAW}, {_BETWEEN} SELECT series_id, ds, {_r('COALESCE(y, y0 + (y1 - y0) * (i - i0) / NULLIF(i1 - i0, 0), y0, y1)', 'y')} FROM k"
-    _register(f"impute_{_m}", lambda s, d, m=_m: impute(source.orders_daily(s, d), m), _sql)
+    _digits = 6 if _m == "rolling_mean" else 4  # means of eight cents end in a 5 at the fifth place
+    _sql = f"WITH {RAW} SELECT series_id, ds, {_r(_IMPUTE_SQL[_m], 'y', _digits)} FROM panel" if _m in _IMPUTE_SQL else f"WITH {RAW}, {_BETWEEN} SELECT series_id, ds, {_r('COALESCE(y, y0 + (y1 - y0) * (i - i0) / NULLIF(i1 - i0, 0), y0, y1)', 'y')} FROM k"
+    _register(f"impute_{_m}", lambda s, d, m=_m: impute(source.orders_daily(s, d), m), _sql, _digits)
 
 _TRANSFORM_SQL = {
     "standard": f"(y - AVG(y) {_P}) / STDDEV_POP(y) {_P}",
@@ -211,8 +212,12 @@ _register(
 
 
 def queries() -> dict:
+    from tidewright import catalog_more  # noqa: F401  (registers its queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidewright import catalog_more  # noqa: F401
+
     return dict(SQL)
