@@ -268,7 +268,8 @@ def similar_links(texts: DataFrame, docs: DataFrame, width: int = SHINGLE, simil
     key meet. The table of each fingerprint's distances to the pivots is made first; pairs that
     differ by more than `FAR` in any coordinate, or in bits, are discarded, and the shingle sets
     of the rest are compared. A key of more than `SMALL` texts has its texts compared with the
-    first of them; those unlike it go on, for `ROUNDS` rounds.
+    first of them; those unlike it go on, for `ROUNDS` rounds. What is left of such a key then is
+    not compared under it: its links are found only if another key has them, or are lost.
     """
     table_ = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(p))))).cast("tinyint") for p in pivots()])
     held = texts.select("u", "fp", table_.alias("at"), F.explode("keys").alias("k"))
