@@ -228,6 +228,25 @@ def test_near_duplicates_of_texts(spark):
     assert simhash.drop_near_duplicates(docs.where("doc_id < 0")).count() == 0
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """Texts at 0.786 to each other share their band keys; pairs among them are at 0.818."""
+    base = [f"b{i}" for i in range(92)]
+    texts = []
+    for i in range(300):
+        middle = [f"p{i // 2}", f"q{i // 2}"] if i < 120 else [f"p{i}x", f"q{i}x"]
+        texts.append(" ".join([*base, *middle, *(f"u{i}.{j}" for j in range(10))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [*range(0, 120, 2), *range(120, 300)]
+
+
+def test_blocks_share_what_sets_share():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, int(rng.integers(1, 120))).astype(np.uint64)) for _ in range(30)]
+    left, right = np.arange(12), np.arange(12, 30)
+    expect = [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+    assert simhash._common(sets, left, right, step=37).tolist() == expect
+
+
 def brute_pieces(docs, width=4096):
     import public_tokenizers
     from tokenizers import Tokenizer

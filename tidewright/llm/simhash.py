@@ -204,10 +204,10 @@ BANDS, ROWS = 20, 5
 #: Pairs whose fingerprints differ in more bits are discarded unread; at 0.8 the mean is 9.7 and
 #: the deviation 2.9, so about one pair in a million is lost.
 FAR = 24
-#: Texts that share a key are compared with each other up to this number; of more, with the first.
+#: Texts that share a key are compared pair by pair up to this number; of more, block by block.
 SMALL = 8
-#: Rounds for keys of more texts: in each, what was not like the first is compared with the next.
-ROUNDS = 4
+#: Texts of a block, on average.
+BLOCK = 128
 
 
 def band_keys(h: np.ndarray) -> list[int]:
@@ -261,6 +261,94 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> Da
     return read.transform(in_arrow, run, f"a {kind}, b {kind}")
 
 
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Elements in common of each set in `left` (places in `sets`) with each in `right`.
+
+    Elements of one set only are left out; `step` of the others at a time become columns of a
+    matrix of zeros and ones, which bounds the memory.
+    """
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+    column = np.concatenate(([0], np.cumsum(every[order][1:] != every[order][:-1])))
+    several = np.bincount(column) > 1
+    owner, column = owner[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    out = np.zeros((len(left), len(right)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, [at, at + step])
+        has = np.zeros((len(sets), min(step, int(column[-1]) + 1 - at)), np.float32)
+        has[owner[a:b], column[a:b] - at] = 1
+        out += has[left] @ has[right].T
+    return out
+
+
+def _links_between(rows: list[tuple], width: int, similar: float) -> list[tuple]:
+    """Links (a, b) between the two blocks of `rows` (u, c, block, text), or within the one there
+    is: a forest that connects all that are alike. Texts of one component c are connected before."""
+    sets = [np.unique(shingles(fold(r[3]), width)) for r in rows]
+    sides = np.array([r[2] for r in rows])
+    left, right = np.nonzero(sides == sides.min())[0], np.nonzero(sides == sides.max())[0]
+    sizes = np.array([len(x) for x in sets], np.float64)
+    both = _common(sets, left, right)
+    i, j = np.nonzero(both >= similar * (sizes[left][:, None] + sizes[right][None, :] - both))
+    seen: dict = {}
+    parent = [seen.setdefault(r[1], k) for k, r in enumerate(rows)]
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    out = []
+    for x, y in zip(left[i].tolist(), right[j].tolist()):
+        a, b = root(x), root(y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((rows[x][0], rows[y][0]))
+    return out
+
+
+def _by_blocks(crowd: DataFrame, found: DataFrame, docs: DataFrame, width: int, similar: float, block: int = BLOCK) -> DataFrame:
+    """The links of overfull keys (k, u) that `found` does not connect already; no pair is left out.
+
+    Components of what is found come first; a key that lies in one is done. In the others the
+    component of the first text, which is most of a large group of near copies, is dealt into
+    blocks by a hash, and so is the rest; each block of the rest meets all blocks, itself
+    included, in a group of its own, where the shingle sets are compared exactly.
+    """
+    known = components(found)
+    of = crowd.select("k", "u").join(known, F.col("u") == F.col("node"), "left").select("k", "u", F.coalesce("root", "u").alias("c"))
+    of = materialize(of, "near-crowd")
+    main = of.groupBy("k").agg(F.min(F.struct("u", "c")).alias("first"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    of = of.join(main.select("k", F.col("first.c").alias("main")), "k").withColumn("inner", F.col("c") == F.col("main")).drop("main")
+    of = materialize(of, "near-crowd")
+    sizes = of.groupBy("k").agg(*[F.ceil(F.count_if(x) / block).cast("int").alias(n) for n, x in (("m", F.col("inner")), ("r", ~F.col("inner")))])
+    read = materialize(docs.join(of.select("u").distinct(), "u", "left_semi").dropDuplicates(["u"]).select("u", "text"), "near-texts")
+    own = F.when(F.col("inner"), F.pmod(F.xxhash64("u"), F.col("m"))).otherwise(F.col("m") + F.pmod(F.xxhash64("u"), F.col("r"))).cast("int")
+    met = F.sequence(F.when(F.col("inner"), F.col("m")).otherwise(0), F.col("m") + F.col("r") - 1)
+    dealt = of.join(sizes, "k").select("k", "u", "c", own.alias("own"), F.explode(met).alias("other"))
+    dealt = dealt.select("k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "u", "c", "own")
+
+    def run(batches):
+        key, rows, kind = None, [], None
+        for batch in batches:
+            kind, out = batch.schema.field("u").type, []
+            columns = [batch.column(n).to_pylist() for n in ("k", "p", "q", "u", "c", "own")]
+            for k, p, q, u, c, side, t in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist()):
+                if (k, p, q) != key:
+                    out += _links_between(rows, width, similar) if len(rows) > 1 else []
+                    key, rows = (k, p, q), []
+                rows.append((u, tuple(c.values()) if isinstance(c, dict) else c, side, t))
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], kind) for n in (0, 1)], names=["a", "b"])
+        out = _links_between(rows, width, similar) if len(rows) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], kind) for n in (0, 1)], names=["a", "b"])
+
+    kind = dict(crowd.dtypes)["u"]
+    return dealt.join(read, "u").repartition("k", "p", "q").sortWithinPartitions("k", "p", "q").transform(in_arrow, run, f"a {kind}, b {kind}")
+
+
 def similar_links(texts: DataFrame, docs: DataFrame, width: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """Links (a, b) of near-duplicates among distinct texts.
 
@@ -268,33 +356,29 @@ def similar_links(texts: DataFrame, docs: DataFrame, width: int = SHINGLE, simil
     key meet. The table of each fingerprint's distances to the pivots is made first; pairs that
     differ by more than `FAR` in any coordinate, or in bits, are discarded, and the shingle sets
     of the rest are compared. A key of more than `SMALL` texts has its texts compared with the
-    first of them; those unlike it go on, for `ROUNDS` rounds. What is left of such a key then is
-    not compared under it: its links are found only if another key has them, or are lost.
+    first of them, which connects most of a group of near copies; what is not connected by then
+    is compared by `_by_blocks`, so that every pair of a key is connected or compared.
     """
     table_ = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(p))))).cast("tinyint") for p in pivots()])
     held = texts.select("u", "fp", table_.alias("at"), F.explode("keys").alias("k"))
     several = held.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     held = materialize(held.join(several, "k"), "near-keys")
-    links = None
-    for _ in range(ROUNDS):
-        first = held.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("u", "fp", "at")).alias("first")).where("n > 1")
-        few = held.join(first.where(F.col("n") <= SMALL).select("k"), "k")
-        other = few.select("k", *[F.col(c).alias(f"{c}2") for c in ("u", "fp", "at")])
-        met = few.join(other, "k").where("u < u2").select("u", "fp", "at", "u2", "fp2", "at2")
-        crowd = held.join(first.where(F.col("n") > SMALL).select("k", F.col("first.u").alias("u2"), F.col("first.fp").alias("fp2"), F.col("first.at").alias("at2")), "k").where("u <> u2")
-        met = met.union(crowd.select("u", "fp", "at", "u2", "fp2", "at2"))
-        apart = F.array_max(F.zip_with("at", "at2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
-        near = met.where((apart <= FAR) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= FAR))
-        pairs = materialize(near.select(F.col("u").alias("b"), F.col("u2").alias("a")).distinct(), "near-pairs")
-        named = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct()
-        read = materialize(docs.join(named, "u", "left_semi").dropDuplicates(["u"]), "near-texts")
-        found = materialize(_alike(pairs.select("a", "b"), read, width, similar), "near-links")
-        links = found if links is None else links.union(found)
-        rest = crowd.select("k", "u", "fp", "at", "u2").join(found.select(F.col("a").alias("u2"), F.col("b").alias("u")), ["u", "u2"], "left_anti").select("k", "u", "fp", "at")
-        held = materialize(rest, "near-keys")
-        if held.isEmpty():
-            break
-    return links
+    first = held.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("u", "fp", "at")).alias("first"))
+    few = held.join(first.where(F.col("n") <= SMALL).select("k"), "k")
+    other = few.select("k", *[F.col(c).alias(f"{c}2") for c in ("u", "fp", "at")])
+    met = few.join(other, "k").where("u < u2").select("u", "fp", "at", "u2", "fp2", "at2")
+    crowd = held.join(first.where(F.col("n") > SMALL).select("k", F.col("first.u").alias("u2"), F.col("first.fp").alias("fp2"), F.col("first.at").alias("at2")), "k")
+    crowd = materialize(crowd, "near-crowd")
+    met = met.union(crowd.where("u <> u2").select("u", "fp", "at", "u2", "fp2", "at2"))
+    apart = F.array_max(F.zip_with("at", "at2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
+    near = met.where((apart <= FAR) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= FAR))
+    pairs = materialize(near.select(F.col("u").alias("b"), F.col("u2").alias("a")).distinct(), "near-pairs")
+    named = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct()
+    read = materialize(docs.join(named, "u", "left_semi").dropDuplicates(["u"]), "near-texts")
+    found = materialize(_alike(pairs.select("a", "b"), read, width, similar), "near-links")
+    if crowd.isEmpty():
+        return found
+    return found.union(materialize(_by_blocks(crowd, found, docs, width, similar), "near-links"))
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, width: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
