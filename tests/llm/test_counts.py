@@ -239,6 +239,16 @@ def test_near_duplicates_in_a_crowd(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [*range(0, 120, 2), *range(120, 300)]
 
 
+def test_near_duplicates_with_a_repeated_sentence(spark):
+    """Repeats leave the set of shingles as it is but weigh in a fingerprint."""
+    texts = []
+    for i in range(40):
+        head, again = [f"h{i}.{j}" for j in range(100)], [f"s{i}.{j}" for j in range(5)]
+        texts += [" ".join([*head, *again]), " ".join([*head, *again * 18])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == list(range(0, 80, 2))
+
+
 def test_blocks_share_what_sets_share():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 300, int(rng.integers(1, 120))).astype(np.uint64)) for _ in range(30)]

@@ -201,9 +201,6 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, text: str
 SHINGLE, SIMILAR = 5, 0.8
 #: Band keys of a text, and MinHash rows of each: two texts at 0.8 share one with a probability of 0.9996.
 BANDS, ROWS = 20, 5
-#: Pairs whose fingerprints differ in more bits are discarded unread; at 0.8 the mean is 9.7 and
-#: the deviation 2.9, so about one pair in a million is lost.
-FAR = 24
 #: Texts that share a key are compared pair by pair up to this number; of more, block by block.
 SMALL = 8
 #: Texts of a block, on average.
@@ -223,21 +220,21 @@ def band_keys(h: np.ndarray) -> list[int]:
 
 
 def _traits(docs: DataFrame, width: int) -> DataFrame:
-    """_id, _th, `same` (a digest of the word sequence), fp and keys of every row."""
+    """_id, _th, `same` (a digest of the word sequence), size (of the shingle set) and keys of every row."""
 
     def run(batches):
         for batch in batches:
-            same, fps, keys = [], [], []
+            same, sizes, keys = [], [], []
             for t in batch.column("text").cast(pa.binary()).to_pylist():
                 words = fold(t)
-                h = shingles(words, width)
+                h = np.unique(shingles(words, width))
                 same.append(xxhash.xxh3_128_digest(b" ".join(words), SEED))
-                fps.append(_signed(majority(h)))
-                keys.append(band_keys(np.unique(h)))
-            cols = [batch.column("_id"), batch.column("_th"), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["_id", "_th", "same", "fp", "keys"])
+                sizes.append(len(h))
+                keys.append(band_keys(h))
+            cols = [batch.column("_id"), batch.column("_th"), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["_id", "_th", "same", "size", "keys"])
 
-    return docs.transform(in_arrow, run, f"_id {dict(docs.dtypes)['_id']}, _th long, same binary, fp long, keys array<long>")
+    return docs.transform(in_arrow, run, f"_id {dict(docs.dtypes)['_id']}, _th long, same binary, size long, keys array<long>")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
@@ -352,26 +349,23 @@ def _by_blocks(crowd: DataFrame, found: DataFrame, docs: DataFrame, width: int,
 def similar_links(texts: DataFrame, docs: DataFrame, width: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """Links (a, b) of near-duplicates among distinct texts.
 
-    texts: u (what names a text and orders it), fp, keys; docs: u, text. Texts that share a band
-    key meet. The table of each fingerprint's distances to the pivots is made first; pairs that
-    differ by more than `FAR` in any coordinate, or in bits, are discarded, and the shingle sets
-    of the rest are compared. A key of more than `SMALL` texts has its texts compared with the
+    texts: u (what names a text and orders it), size, keys; docs: u, text. Texts that share a band
+    key meet; pairs of which one's shingle set is too small for the other's are discarded, and the
+    sets of the rest are compared. A key of more than `SMALL` texts has its texts compared with the
     first of them, which connects most of a group of near copies; what is not connected by then
     is compared by `_by_blocks`, so that every pair of a key is connected or compared.
     """
-    table_ = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(p))))).cast("tinyint") for p in pivots()])
-    held = texts.select("u", "fp", table_.alias("at"), F.explode("keys").alias("k"))
+    held = texts.select("u", "size", F.explode("keys").alias("k"))
     several = held.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     held = materialize(held.join(several, "k"), "near-keys")
-    first = held.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("u", "fp", "at")).alias("first"))
+    first = held.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("u", "size")).alias("first"))
     few = held.join(first.where(F.col("n") <= SMALL).select("k"), "k")
-    other = few.select("k", *[F.col(c).alias(f"{c}2") for c in ("u", "fp", "at")])
-    met = few.join(other, "k").where("u < u2").select("u", "fp", "at", "u2", "fp2", "at2")
-    crowd = held.join(first.where(F.col("n") > SMALL).select("k", F.col("first.u").alias("u2"), F.col("first.fp").alias("fp2"), F.col("first.at").alias("at2")), "k")
+    other = few.select("k", F.col("u").alias("u2"), F.col("size").alias("size2"))
+    met = few.join(other, "k").where("u < u2").select("u", "size", "u2", "size2")
+    crowd = held.join(first.where(F.col("n") > SMALL).select("k", F.col("first.u").alias("u2"), F.col("first.size").alias("size2")), "k")
     crowd = materialize(crowd, "near-crowd")
-    met = met.union(crowd.where("u <> u2").select("u", "fp", "at", "u2", "fp2", "at2"))
-    apart = F.array_max(F.zip_with("at", "at2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
-    near = met.where((apart <= FAR) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= FAR))
+    met = met.union(crowd.where("u <> u2").select("u", "size", "u2", "size2"))
+    near = met.where(F.least("size", "size2") >= F.lit(similar) * F.greatest("size", "size2"))
     pairs = materialize(near.select(F.col("u").alias("b"), F.col("u2").alias("a")).distinct(), "near-pairs")
     named = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct()
     read = materialize(docs.join(named, "u", "left_semi").dropDuplicates(["u"]), "near-texts")
@@ -392,7 +386,7 @@ def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, width: int =
     slim = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("text"))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("_id"), F.col("_th").alias("_th"))
     traits = materialize(_traits(slim, width), "near-traits")
-    texts = materialize(traits.groupBy("same").agg(F.min(order).alias("u"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).drop("same"), "near-texts")
+    texts = materialize(traits.groupBy("same").agg(F.min(order).alias("u"), F.first("size").alias("size"), F.first("keys").alias("keys")).drop("same"), "near-texts")
     found = components(similar_links(texts, slim.select(order.alias("u"), "text"), width, similar))
     gone = found.where("node <> root").select(F.col("node").alias("u"))
     keep = materialize(texts.select("u").join(gone, "u", "left_anti").select("u._id", "u._th"), "near-kept")
