@@ -116,6 +116,18 @@ def test_repeated_passages_go_whatever_stands_beside_them(spark, tmp_path):
     assert passage in got[0] and all("p0w0" not in got[i] and "p2w17" not in got[i] and f"line {i} of its own" in got[i] for i in range(1, 6))
 
 
+def test_repeated_passages_of_short_lines_go_in_whole(spark):
+    shapes = [(6, 9), (7, 8), (9, 6), (14, 4), (3, 4), (12, 1)]
+    passages = ["\n".join(" ".join(f"s{k}l{i}w{j}" for j in range(n)) for i in range(m)) for k, (m, n) in enumerate(shapes)]
+    rows = [(10 * k + c, f"own {k} {c}\nbefore {c} {k}\n{p}\nafter {c} {k}\nend {k} {c}") for k, p in enumerate(passages) for c in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    for k, p in enumerate(passages):
+        assert got[10 * k] == rows[4 * k][1]
+        for c in range(1, 4):
+            assert got[10 * k + c] == f"own {k} {c}\nbefore {c} {k}\nafter {c} {k}\nend {k} {c}"
+
+
 def test_licences(spark, sf):
     got = licenses.op6_licenses(spark, sf).collect()
     assert len(got) == len(documents(sf))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,8 @@ from .common import in_arrow, let, materialize, row_key
 
 #: Lines over which the rolling hash that sets a border runs, and the mean number of lines between borders.
 WINDOW, MEAN_LINES = 2, 3
-#: Words that a chunk needs to be worth comparing; a line with as many is a chunk of its own too.
+#: Words that a chunk needs to be worth comparing; a line, or a least run of lines, with as many is a
+#: chunk of its own too.
 MIN_WORDS = 10
 _BASE = 0x100000001B3
 _MASK = (1 << 64) - 1
@@ -25,14 +27,18 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
 
     A border falls behind a line where the rolling hash of the last lines' hashes is 0 modulo
     the mean length, so borders move with the lines when others are put in or taken out before
-    them. Lines without words belong to no chunk. Long lines are chunks of their own as well,
-    so that a passage is found whatever stands beside it.
+    them. Lines without words belong to no chunk. Long lines are chunks of their own as well, and
+    from every shorter line the least run of lines with `MIN_WORDS` words is one, forwards and
+    backwards: such runs inside a passage of as many words cover all its lines, so that it is
+    found whatever stands beside it.
     """
     if not text:
         return []
     out, begin, words, roll = [], None, 0, []
     lines = text.split(b"\n")
     held: list[int] = []
+    places: list[int] = []
+    ends = [0]
 
     def close() -> None:
         nonlocal begin, words
@@ -49,6 +55,8 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
         if n >= MIN_WORDS:
             out.append((h, i, i + 1))
         held.append(i)
+        places.append(i)
+        ends.append(ends[-1] + n)
         words += n
         roll = [*roll[1 - WINDOW :], h]
         value = 0
@@ -57,6 +65,19 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
         if (value >> 17) % MEAN_LINES == 0:
             close()
     close()
+    runs = {}  # in order, each once
+    for k in range(len(places)):
+        if ends[k + 1] - ends[k] < MIN_WORDS:
+            a, b = bisect_right(ends, ends[k + 1] - MIN_WORDS) - 1, bisect_left(ends, ends[k] + MIN_WORDS)
+            if a >= 0:
+                runs[a, k + 1] = None
+            if b < len(ends):
+                runs[k, b] = None
+    there = {c[1:] for c in out}
+    for a, b in runs:
+        lo, hi = places[a], places[b - 1] + 1
+        if (lo, hi) not in there:
+            out.append((xxhash.xxh64_intdigest(b"\n".join(lines[i] for i in places[a:b]), 1), lo, hi))
     return out
 
 
