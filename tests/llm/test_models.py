@@ -142,6 +142,32 @@ def test_place_decides_inside_an_article():
         assert html.decide(tree, [1, 0, heading, *rest]) and not html.decide(tree, [1, 1, heading, *rest]) and not html.decide(tree, [0, 1, heading, *rest])
 
 
+LONG = "word " * 60
+
+
+@pytest.mark.parametrize(
+    "page, expect",
+    [
+        (f"<article><p>{LONG}{LONG}</p><p>closing paragraph</p></article>", (LONG * 2).strip() + "\n\nclosing paragraph"),
+        (f'<div class="wrapper with-sidebar"><main><p>{LONG}</p></main></div>', LONG.strip()),
+        (f'<article><p>{LONG}</p><p class="share-price">It rose by ten</p></article>', LONG.strip() + "\n\nIt rose by ten"),
+        (f'<article id="article-comments-policy"><p>{LONG}</p></article>', LONG.strip()),
+        (f'<div class="layout-sidebar-right has-sidebar"><p>{LONG}</p></div>', LONG.strip()),
+        (f'<div class="sidebar"><article><p>{LONG}</p></article></div>', LONG.strip()),
+        (f'<article><p>{LONG}</p></article><div id="comments"><article class="comment"><p>{LONG} not this</p></article></div>', LONG.strip()),
+        (f'<main><p>{LONG}</p><article class="comment"><p>not this</p></article></main>', LONG.strip()),
+        (f"<aside><article><p>{LONG}</p></article></aside>", ""),
+    ],
+)
+def test_names_of_elements(page, expect):
+    assert html.main_text(page, html.grow(html.LABELLED[:, :-1], html.LABELLED[:, -1])) == expect
+
+
+def test_no_pages(spark, tmp_path):
+    pq.write_table(pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "html": pa.array([], pa.string()), "__text": pa.array([], pa.string())}), tmp_path / "pages.parquet")
+    assert html.op10_html(spark, str(tmp_path)).collect() == []
+
+
 def test_pages(spark):
     got = {r.page_id: r for r in html.op10_html(spark, SF01).collect()}
     pages = pq.read_table(f"{SF01}/pages.parquet").to_pylist()

@@ -27,6 +27,8 @@ MAIN = frozenset("article main".split())
 HINTS = frozenset(
     "nav navbar navigation menu sidebar aside footer header masthead banner ad ads adv advert adverts advertisement advertising promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert newsletter subscribe signup popup modal overlay social share sharing related recommended breadcrumb breadcrumbs pagination pager comment comments reply replies discussion disqus respond widget toolbar search login complementary contentinfo".split()
 )
+FIRM = frozenset("comment comments reply replies discussion disqus respond related recommended".split())
+NEUTRAL = frozenset("box block section list wrap wrapper container inner outer area bar panel link links item items slot unit top bottom left right primary secondary main site page global post posts entry article articles story form text message content group row col column module region button buttons icon icons small large mobile desktop 1 2 3 4".split())
 CLOSES_P = BLOCKS - {"body", "html"}
 
 
@@ -38,35 +40,43 @@ class Block:
         self.main, self.around, self.heading = main, around, heading
 
 
-def _hinted(tag: str) -> bool:
+def _hinted(tag: str) -> tuple[bool, bool]:
+    """Whether an element is named like something around the text, and like readers' words.
+
+    A class counts if one of its parts is a hint and the others just say where or what kind of
+    box it is: `comments-list` does, `share-price` and `with-sidebar` do not.
+    """
+    hinted = firm = False
     for m in _HINT.finditer(tag):
-        if not HINTS.isdisjoint(_PARTS.split((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = {x for x in _PARTS.split(name) if x}
+            hints = parts & HINTS
+            if hints and parts <= HINTS | NEUTRAL:
+                hinted, firm = True, firm or not FIRM.isdisjoint(hints)
+    return hinted, firm
 
 
 def blocks(page: str) -> list[Block]:
     """A page's text blocks in order. Broken markup is read as browsers do in the common cases:
     a block start closes an open paragraph, an end tag closes what is open inside its element,
-    an unknown end tag is ignored; what has no end lasts to the page's end."""
+    an unknown end tag is ignored; what has no end lasts to the page's end. A hint in an element's
+    name counts for what is inside it, but never from above the outermost article or main."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = []  # name; unseen, around, main so far
-    unseen = around = main = links = 0
+    stack: list[tuple[str, int, int, int, int]] = []  # name; unseen, around, main; hints in force before it
+    unseen = around = main = links = soft = 0
     block: Block | None = None
     skip_to = None
-    low = None
     pos = 0
 
     def pop(to: int) -> None:
-        nonlocal unseen, around, main, links
+        nonlocal unseen, around, main, links, soft
         while len(stack) > to:
-            name, u, a, m = stack.pop()
+            name, u, a, m, soft = stack.pop()
             unseen, around, main = unseen - u, around - a, main - m
             links -= name == "a"
 
     while pos < len(page):
         if skip_to:
-            low = page.lower() if low is None and not page.isascii() else low
             found = re.compile(f"</{skip_to}\\b", re.I).search(page, pos)
             if not found:
                 break
@@ -81,7 +91,7 @@ def blocks(page: str) -> list[Block]:
                 if token.isspace():
                     continue
                 name = next((n for n, *_ in reversed(stack) if n in BLOCKS), "")
-                block = Block(main > 0, around > 0, len(name) == 2 and name[0] == "h" and name[1].isdigit())
+                block = Block(main > 0, around + soft > 0, len(name) == 2 and name[0] == "h" and name[1].isdigit())
                 out.append(block)
             block.text.append(token)
             if links:
@@ -125,8 +135,12 @@ def blocks(page: str) -> list[Block]:
             pop(0)
         if token.endswith("/>") and name not in BLOCKS and name != "a":
             continue
-        state = (name, int(name in UNSEEN), int(name not in ("html", "body") and (name in AROUND or _hinted(token))), int(name in MAIN))
+        whole = name in ("html", "body") or (name in MAIN and not main)
+        hinted, firm = (False, False) if whole else _hinted(token)
+        state = (name, int(name in UNSEEN), int(name in AROUND or firm), int(name in MAIN), soft)
         stack.append(state)
+        # What a wrapper outside is called does not touch the article in it.
+        soft = 0 if name in MAIN and not main else soft + (hinted and not firm)
         unseen, around, main = unseen + state[1], around + state[2], main + state[3]
         links += name == "a"
         if name in RAW:
@@ -171,6 +185,9 @@ LABELLED = np.array([
     (0, 0, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (0, 0, 0, 2, 1.0, 0, 0.0, 2, 1.0, 0), (0, 0, 0, 12, 0.9, 60, 0.0, 10, 0.9, 0), (0, 0, 0, 30, 0.8, 12, 0.9, 4, 1.0, 0),
     (0, 0, 0, 4, 0.0, 1, 1.0, 3, 1.0, 0), (0, 0, 0, 5, 0.0, 4, 0.0, 2, 1.0, 0), (0, 0, 0, 8, 0.0, 80, 0.0, 0, 0.0, 0), (0, 0, 0, 3, 0.0, 0, 0.0, 2, 1.0, 0),
     (0, 0, 1, 2, 0.0, 60, 0.0, 3, 1.0, 0), (0, 0, 1, 2, 0.0, 1, 1.0, 2, 1.0, 0),
+    (1, 0, 0, 1, 1.0, 1, 1.0, 1, 1.0, 1), (1, 0, 0, 2, 1.0, 0, 0.0, 2, 1.0, 1), (1, 0, 0, 12, 0.9, 60, 0.0, 10, 0.9, 1), (1, 0, 0, 30, 0.8, 12, 0.9, 4, 1.0, 1),
+    (1, 0, 0, 4, 0.0, 1, 1.0, 3, 1.0, 1), (1, 0, 0, 5, 0.0, 4, 0.0, 2, 1.0, 1), (1, 0, 0, 8, 0.0, 80, 0.0, 0, 0.0, 1), (1, 0, 0, 3, 0.0, 0, 0.0, 2, 1.0, 1),
+    (1, 0, 1, 2, 0.0, 60, 0.0, 3, 1.0, 1), (1, 0, 1, 2, 0.0, 1, 1.0, 2, 1.0, 1), (1, 0, 0, 100, 0.0, 0, 0.0, 3, 0.0, 1), (1, 0, 0, 3, 0.0, 100, 0.0, 0, 0.0, 1),
 ])
 
 
@@ -209,24 +226,25 @@ def main_text(page: str | None, tree) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", labelled: np.ndarray = LABELLED) -> DataFrame:
-    """Add `_text`, the main text of each page.
+    """Add `__tw_text`, the main text of each page.
 
     Null and empty pages, and pages without main text, give an empty text. Pages are read in
-    whole; each is judged for itself, so repeated rows give the same; other columns stay.
+    whole; each is judged for itself, so repeated rows give the same; other columns stay (names
+    that begin with `__tw_` are ours); an empty table gives no rows.
     """
     tree = grow(labelled[:, :-1], labelled[:, -1])
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(p, tree) for p in batch.column("_html").to_pylist()]
-            names = [f for f in batch.schema.names if f != "_html"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(f) for f in names], pa.array(texts, pa.string())], names=[*names, "_text"])
+            texts = [main_text(p, tree) for p in batch.column("__tw_html").to_pylist()]
+            names = [f for f in batch.schema.names if f != "__tw_html"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f) for f in names], pa.array(texts, pa.string())], names=[*names, "__tw_text"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != html]
-    return pages.withColumn("_html", F.col(html)).drop(html).transform(in_arrow, run, ", ".join([*fields, "_text string"]))
+    return pages.withColumn("__tw_html", F.col(html)).drop(html).transform(in_arrow, run, ", ".join([*fields, "__tw_text string"]))
 
 
 def op10_html(spark, sf_dir: str) -> DataFrame:
     """The contract's rows over the whole table pages."""
     found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return found.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", F.col("__tw_text").alias("text"), F.length("__tw_text").cast("long").alias("n_chars"))
