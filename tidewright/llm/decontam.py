@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, table
+from .common import in_arrow, materialize, table
 
 #: ASCII: digits and letters stay, A-Z become a-z, all else parts words. Other bytes stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -45,6 +45,7 @@ class ItemAutomaton:
             state = 0
             for w in words:
                 state = self._extend(state, w)
+        self._window: dict[int, int] = {}
         self.grams: dict[int, set[str]] = {}
         self.short: dict[int, set[tuple[int, str]]] = {}
         for item, words in ids:
@@ -97,16 +98,31 @@ class ItemAutomaton:
         return here
 
     def _shorten(self, state: int, n: int) -> int:
-        """The state of the last n words of the state's sequences."""
+        """The state of the last n words of the state's sequences; the way up to a window's state
+        is remembered, as it is long where a word repeats itself."""
+        passed = []
         while self.length[self.link[state]] >= n:
+            if n == self.n:
+                if (known := self._window.get(state)) is not None:
+                    state = known
+                    break
+                passed.append(state)
             state = self.link[state]
+        for s in passed:
+            self._window[s] = state
         return state
 
     def _ending(self, state: int) -> list[tuple[int, str]]:
         """Short items that are suffixes of the state's longest sequence."""
-        if (found := self._above.get(state)) is None:
-            found = [*self.short.get(state, ()), *(self._ending(self.link[state]) if state > 0 else ())]
-            self._above[state] = found
+        passed = []
+        while state > 0 and state not in self._above:
+            passed.append(state)
+            state = self.link[state]
+        found = self._above.get(state, []) if state > 0 else []
+        for s in reversed(passed):
+            if own := self.short.get(s):
+                found = [*own, *found]
+            self._above[s] = found
         return found
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
@@ -144,20 +160,20 @@ class ItemAutomaton:
                         items.add(item)
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark's items for the driver, in blocks of about `limit` words each."""
+def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> tuple[int, DataFrame]:
+    """The number of blocks of about `limit` words each, and the benchmark's items with their block."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.encode(F.col(text), "UTF-8").alias("text")).where("text IS NOT NULL AND item IS NOT NULL")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = int(size // (6 * limit)) + 1
-    return [[(r.item, bytes(r.text)) for r in rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()] for k in range(n)]
+    return n, rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n)))
 
 
-_FOUND = "_hit binary, _n_words long, _items array<string>"
+_FOUND = "__tw_hit binary, __tw_n_words long, __tw_items array<string>"
 
 
-def _scan_block(sc, items: list[tuple[str, bytes]], n: int):
+def _scan_block(block, n: int):
     """A function for mapInArrow: adds a block's hits (packed bits) and items to those found before."""
-    block, built = sc.broadcast(items), {}
+    built = {}
 
     def run(batches):
         if not built:
@@ -165,8 +181,8 @@ def _scan_block(sc, items: list[tuple[str, bytes]], n: int):
         automaton = built[0]
         for batch in batches:
             hits, counts, found = [], [], []
-            old_hits, old_items = batch.column("_hit").to_pylist(), batch.column("_items").to_pylist()
-            for text, bits, before in zip(batch.column("_text").cast(pa.binary()).to_pylist(), old_hits, old_items):
+            old_hits, old_items = batch.column("__tw_hit").to_pylist(), batch.column("__tw_items").to_pylist()
+            for text, bits, before in zip(batch.column("__tw_text").cast(pa.binary()).to_pylist(), old_hits, old_items):
                 words = split_words(text)
                 hit, names = automaton.scan(words)
                 if before:
@@ -175,29 +191,36 @@ def _scan_block(sc, items: list[tuple[str, bytes]], n: int):
                 hits.append(np.packbits(hit).tobytes() if names else None)
                 counts.append(len(words))
                 found.append(sorted(names))
-            keep = [batch.column(i) for i, f in enumerate(batch.schema.names) if f not in ("_hit", "_n_words", "_items")]
-            names = [f for f in batch.schema.names if f not in ("_hit", "_n_words", "_items")]
+            keep = [batch.column(i) for i, f in enumerate(batch.schema.names) if f not in ("__tw_hit", "__tw_n_words", "__tw_items")]
+            names = [f for f in batch.schema.names if f not in ("__tw_hit", "__tw_n_words", "__tw_items")]
             yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(hits, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.string()))], names=[*names, "_hit", "_n_words", "_items"]
+                [*keep, pa.array(hits, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.string()))], names=[*names, "__tw_hit", "__tw_n_words", "__tw_items"]
             )
 
     return run
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, n: int = 8, text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Add to each document `_hit` (packed bits, one a word; null if none), `_n_words`, `_items`.
+    """Add to each document `__tw_hit` (packed bits, one a word; null if none), `__tw_n_words`, `__tw_items`.
 
     An item's windows are its runs of n words; an item of fewer words, but not none, is one
     window. Null and empty texts have no words; null items are ignored; an empty benchmark hits
-    nothing; repeated rows are judged alike. Text is streamed once a block of the benchmark;
-    only the benchmark's words are broadcast, at most about `block_words` at a time.
+    nothing; repeated rows are judged alike; an empty table gives no rows; texts are read in
+    whole, however long. Names that begin with `__tw_` are ours. Text is streamed once a block of
+    the benchmark: a block of about `block_words` words is collected and broadcast, its hits are
+    written to the shared folder, and it is let go before the next one comes.
     """
     sc = docs.sparkSession.sparkContext
-    found = docs.withColumns({"_text": F.col(text), "_hit": F.lit(None).cast("binary"), "_n_words": F.lit(0).cast("long"), "_items": F.array().cast("array<string>")})
+    found = docs.withColumns({"__tw_text": F.col(text), "__tw_hit": F.lit(None).cast("binary"), "__tw_n_words": F.lit(0).cast("long"), "__tw_items": F.array().cast("array<string>")})
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    for items in _blocks(benchmark, item, item_text, block_words):
-        found = found.transform(in_arrow, _scan_block(sc, items, n), ", ".join([*fields, "_text string", _FOUND]))
-    return found.drop("_text")
+    many, rows = _blocks(benchmark, item, item_text, block_words)
+    for k in range(many):
+        block = sc.broadcast([(r.item, bytes(r.text)) for r in rows.where(F.col("block") == k).collect()])
+        found = found.transform(in_arrow, _scan_block(block, n), ", ".join([*fields, "__tw_text string", _FOUND]))
+        if k < many - 1:
+            found = materialize(found, "overlaps")
+            block.unpersist()
+    return found.drop("__tw_text")
 
 
 def cut_spans(text: bytes, hit: np.ndarray, max_words: int, coverage: float) -> bytes:
@@ -221,17 +244,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, max_words:
     """Documents without the spans they share with the benchmark.
 
     Runs of at least `max_words` hit words are cut; a document of which more than `coverage` of
-    the words are hit goes. All else, null and empty texts too, stays as it is, with its columns.
+    the words are hit goes. All else, null and empty texts too, stays as it is, with its columns;
+    repeated rows are judged alike, each for itself; an empty table gives no rows.
     """
     found = find_overlaps(docs, benchmark, n, text)
 
     def run(batches):
         for batch in batches:
             cols = {k: batch.column(k) for k in docs_columns}
-            hits = batch.column("_hit").to_pylist()
+            hits = batch.column("__tw_hit").to_pylist()
             if any(h is not None for h in hits):
                 new = []
-                for value, bits, count in zip(cols[text].cast(pa.binary()).to_pylist(), hits, batch.column("_n_words").to_pylist()):
+                for value, bits, count in zip(cols[text].cast(pa.binary()).to_pylist(), hits, batch.column("__tw_n_words").to_pylist()):
                     if bits is not None:
                         value = cut_spans(value, np.unpackbits(np.frombuffer(bits, np.uint8), count=count).astype(bool), max_words, coverage)
                     new.append(value)
@@ -252,12 +276,12 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
 
     def digest(batches):
         for batch in batches:
-            items = batch.column("_items").to_pylist()
-            hits = [0 if b is None else int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for b in batch.column("_hit").to_pylist()]
+            items = batch.column("__tw_items").to_pylist()
+            hits = [0 if b is None else int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for b in batch.column("__tw_hit").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    batch.column("_n_words"),
+                    batch.column("__tw_n_words"),
                     pa.array(hits, pa.int64()),
                     pa.array([len(x) for x in items], pa.int64()),
                     pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]),
