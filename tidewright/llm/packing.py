@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -31,9 +32,15 @@ _PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]|<\\|")
 _PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 
 
+# How a tokenizer file has to normalise and split for the short way.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class Encoder:
-    """Little-endian 32-bit ids of texts. A word's ids do not depend on its neighbours, so each
-    word is tokenised once and remembered; the ids are the tokenizer's own."""
+    """Little-endian 32-bit ids of texts, the tokenizer's own. Where the tokenizer's file lowers
+    and splits as `_PART` does, a word's ids do not depend on its neighbours, so each word is
+    tokenised once and remembered; any other file's texts go to the tokenizer in whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -41,6 +48,16 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.model = self.tokenizer.model
+        said = json.loads(self.tokenizer.to_str())
+        normal, split = said.get("normalizer") or {}, (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        self.short = (
+            [x["type"] for x in normal.get("normalizers", ())] == _NORMAL
+            and (split[0].get("pattern"), split[0].get("behavior"), split[0].get("invert")) == ({"Regex": _SPLIT}, "Removed", True)
+            and [x.get("type") for x in split[1:]] == ["ByteLevel"]
+            and not split[1].get("add_prefix_space")
+            and not split[1].get("use_regex")
+            and said["model"]["type"] == "BPE"
+        )
         # The model's alphabet is bytes as characters: visible ones stand for themselves, the
         # others for characters from 256 on.
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -60,7 +77,7 @@ class Encoder:
             split, size, begin = [], 0, at
             while at < len(texts) and size < 1_000_000:  # characters at a time
                 t = texts[at] or ""
-                split.append(None if _PLAIN.search(t) else _PART.findall(t.lower()))
+                split.append(None if not self.short or _PLAIN.search(t) else _PART.findall(t.lower()))
                 size, at = size + len(t), at + 1
             new: set[str] = set()
             for parts in split:
