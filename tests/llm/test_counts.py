@@ -84,6 +84,17 @@ def test_sharding_hot_text(spark, tmp_path):
         size[r[4]] += r[1]
     assert len(size) == 8 and max(size.values()) - min(size.values()) < 1000
     assert got == [] or Counter(got) == Counter(rows(sharding.op5_sharding(spark, sf)))
+    # Equal texts lie next to each other, over neighbouring shards at most where one ends.
+    line = [r[2] for r in sorted(got, key=lambda r: (r[4], r[5]))]
+    runs = [crc for i, crc in enumerate(line) if i == 0 or line[i - 1] != crc]
+    assert len(runs) == len(set(runs))
+
+
+def test_range_of_a_key(spark):
+    cuts = sorted({int(x) for x in np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 700)})
+    keys = [cuts[0] - 1, *cuts[::50], *(c + 1 for c in cuts[::70]), cuts[-1] + 5]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    assert [r[0] for r in df.select(sharding._range_of(df.k, cuts)).collect()] == [sum(c <= k for c in cuts) for k in keys]
 
 
 def brute_overlaps(docs, items, n=8):
@@ -120,12 +131,43 @@ def test_decontamination_in_blocks(spark):
     assert Counter(map(key, rows(one))) == Counter(map(key, rows(many)))
 
 
+def test_decontamination_of_a_repeated_word_is_linear():
+    items = [("1", [b"w"] * 60_000), ("2", [b"w"] * 3 + [b"x"] * 4)]
+    automaton = decontam.ItemAutomaton(items, 8)
+    hit, found = automaton.scan([b"w"] * 120_000 + [b"x"] * 4)
+    assert hit.all() and found == {"1", "2"}
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j", 5, "x", 1.0, "y")], "doc_id long, text string, _hit long, _items string, _cuts double, _th string")
+    bench = spark.createDataFrame([(7, "c d e f g h i j")], "item_id long, text string")
+    assert decontam.decontaminate(docs, bench, coverage=0.9).collect()[0][1:] == ("a b ", 5, "x", 1.0, "y")
+    assert simhash.drop_near_duplicates(docs).collect() == docs.collect()
+    assert quality.keep_good(docs).count() == 0
+
+
+def test_encoder_leaves_other_files_to_the_tokenizer(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    made["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(made))
+    texts = ["Plain Words HERE", "x 12's don't", "É à B"]
+    for path in (str(public_tokenizers.path("word_bpe_49k.json")), str(tmp_path / "cased.json")):
+        own = Tokenizer.from_file(path)
+        assert [np.frombuffer(b, "<u4").tolist() for b in packing.Encoder(path).encode(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.Encoder(str(public_tokenizers.path("word_bpe_49k.json"))).short and not packing.Encoder(str(tmp_path / "cased.json")).short
+
+
 def test_decontaminated_texts(spark):
     docs, bench = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "benchmark"))
     clean = decontam.decontaminate(docs, bench)
     assert clean.schema == docs.schema
     again = decontam.find_overlaps(clean, bench)
-    assert again.where("_hit IS NOT NULL").count() < 0.1 * decontam.find_overlaps(docs, bench).where("_hit IS NOT NULL").count()
+    assert again.where("__tw_hit IS NOT NULL").count() < 0.1 * decontam.find_overlaps(docs, bench).where("__tw_hit IS NOT NULL").count()
     before, after = dict(documents(SF01)), {r.doc_id: r.text for r in clean.collect()}
     hit = {r[0] for r in brute_overlaps(documents(SF01), duckdb.sql(f"SELECT * FROM '{SF01}/benchmark.parquet'").fetchall()) if r[2]}
     assert all(after[d] == t for d, t in before.items() if d not in hit)

@@ -22,13 +22,13 @@ _BASE = 0x100000001B3
 _MASK = (1 << 64) - 1
 
 
-def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
-    """(hash, first line, end line) of a text's chunks of `MIN_WORDS` words or more.
+def chunks(text: bytes | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(hash, first line, end line) of a text's chunks of `min_words` words or more.
 
     A border falls behind a line where the rolling hash of the last lines' hashes is 0 modulo
     the mean length, so borders move with the lines when others are put in or taken out before
     them. Lines without words belong to no chunk. Long lines are chunks of their own as well, and
-    from every shorter line the least run of lines with `MIN_WORDS` words is one, forwards and
+    from every shorter line the least run of lines with `min_words` words is one, forwards and
     backwards: such runs inside a passage of as many words cover all its lines, so that it is
     found whatever stands beside it.
     """
@@ -42,7 +42,7 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
 
     def close() -> None:
         nonlocal begin, words
-        if len(held) > 1 and words >= MIN_WORDS:
+        if len(held) > 1 and words >= min_words:
             out.append((xxhash.xxh64_intdigest(b"\n".join(lines[i] for i in held), 1), held[0], held[-1] + 1))
         held.clear()
         words = 0
@@ -52,7 +52,7 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
         if not n:
             continue
         h = xxhash.xxh64_intdigest(line)
-        if n >= MIN_WORDS:
+        if n >= min_words:
             out.append((h, i, i + 1))
         held.append(i)
         places.append(i)
@@ -67,8 +67,8 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
     close()
     runs = {}  # in order, each once
     for k in range(len(places)):
-        if ends[k + 1] - ends[k] < MIN_WORDS:
-            a, b = bisect_right(ends, ends[k + 1] - MIN_WORDS) - 1, bisect_left(ends, ends[k] + MIN_WORDS)
+        if ends[k + 1] - ends[k] < min_words:
+            a, b = bisect_right(ends, ends[k + 1] - min_words) - 1, bisect_left(ends, ends[k] + min_words)
             if a >= 0:
                 runs[a, k + 1] = None
             if b < len(ends):
@@ -86,12 +86,12 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
 FILTER_RATIO, FILTER_BITS = 16, 1 << 27
 
 
-def _hashes(docs: DataFrame) -> DataFrame:
+def _hashes(docs: DataFrame, min_words: int) -> DataFrame:
     """One row a chunk: h."""
 
     def run(batches):
         for batch in batches:
-            h = [c[0] for t in batch.column(0).cast(pa.binary()).to_pylist() for c in chunks(t)]
+            h = [c[0] for t in batch.column(0).cast(pa.binary()).to_pylist() for c in chunks(t, min_words)]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64))], names=["h"])
 
     return docs.select("t").transform(in_arrow, run, "h long")
@@ -111,7 +111,7 @@ def _filter(repeated: DataFrame) -> np.ndarray:
     return out
 
 
-def _held(docs: DataFrame, passing: np.ndarray) -> DataFrame:
+def _held(docs: DataFrame, passing: np.ndarray, min_words: int) -> DataFrame:
     """_id, _th, h, lo, hi, bytes and their digest d of the chunks whose hash passes the filter."""
     shipped = docs.sparkSession.sparkContext.broadcast(passing)
 
@@ -122,7 +122,7 @@ def _held(docs: DataFrame, passing: np.ndarray) -> DataFrame:
             at, rows = [], []
             for k, t in enumerate(batch.column("t").cast(pa.binary()).to_pylist()):
                 lines = None
-                for h, lo, hi in chunks(t):
+                for h, lo, hi in chunks(t, min_words):
                     slot = h & mask
                     if bits[slot >> 3] >> (slot & 7) & 1:
                         lines = lines or t.split(b"\n")
@@ -137,7 +137,7 @@ def _held(docs: DataFrame, passing: np.ndarray) -> DataFrame:
     return docs.transform(in_arrow, run, f"_id {kind}, _th long, h long, lo int, hi int, bytes binary, d binary")
 
 
-def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """_id, _th, and `cuts`: array<struct<lo,hi>> of the line ranges to remove from a document.
 
     A chunk that occurs twice or more, anywhere, stays where it comes first (by id, hash of the
@@ -146,26 +146,28 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     bytes count as repeats. The digest just brings a group's first place back to its members.
     """
     slim = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(text).alias("t"))
-    repeated = materialize(_hashes(slim).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-hashes")
-    held = materialize(_held(slim, _filter(repeated)), "line-chunks")
+    repeated = materialize(_hashes(slim, min_words).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-hashes")
+    held = materialize(_held(slim, _filter(repeated), min_words), "line-chunks")
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("_id"), F.col("_th").alias("_th"), F.col("lo").alias("lo"))
     same = held.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.first("d").alias("d"), F.count("*").alias("n")).where("n > 1").select("h", "d", "first")
     again = held.drop("bytes").withColumn("place", place).join(same, ["h", "d"]).where(F.col("place") != F.col("first"))
     return again.groupBy("_id", "_th").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """Documents without the chunks that stand elsewhere before; all rows and columns stay.
 
     Null and empty texts stay as they are; a text of which nothing is left is empty. Rows alike
-    in id and text are one document, whose chunks do not repeat each other.
+    in id and text are one document, whose chunks do not repeat each other. An empty table gives
+    no rows; texts are read in whole, however long; names that begin with `__tw_` are ours.
+    `min_words` is the least number of words of a chunk that counts.
     """
-    cuts = materialize(find_repeats(docs, text, doc_id).select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), F.col("cuts").alias("_cuts")), "line-cuts")
-    joined = docs.hint("merge").join(cuts, docs[doc_id].eqNullSafe(cuts["_i"]) & (F.xxhash64(docs[text]) == cuts["_t"]), "left")
-    gone = F.flatten(F.transform("_cuts", lambda c: F.sequence(c["lo"], c["hi"] - 1)))
+    cuts = materialize(find_repeats(docs, text, doc_id, min_words).select(F.col("_id").alias("__tw_i"), F.col("_th").alias("__tw_t"), F.col("cuts").alias("__tw_cuts")), "line-cuts")
+    joined = docs.join(cuts, docs[doc_id].eqNullSafe(cuts["__tw_i"]) & (F.xxhash64(docs[text]) == cuts["__tw_t"]), "left")
+    gone = F.flatten(F.transform("__tw_cuts", lambda c: F.sequence(c["lo"], c["hi"] - 1)))
     kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
     left = F.array_join(let(F.split(docs[text], "\n", -1), kept), "\n")
-    return joined.withColumn(text, F.when(F.col("_cuts").isNull(), docs[text]).otherwise(left)).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col("__tw_cuts").isNull(), docs[text]).otherwise(left)).select(*docs.columns)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

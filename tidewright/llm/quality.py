@@ -132,9 +132,9 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     of the input stay, but for those named as the ones added, which are replaced. Repeated rows
     are judged alike; an empty table gives no rows.
     """
-    held = docs.withColumn("_judged", judgement(F.col(text), rules))
+    held = docs.withColumn("__tw_judged", judgement(F.col(text), rules))
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "base_failed", "kept", "failed_rules")
-    return held.select(*[c for c in docs.columns if c not in added], *[F.col("_judged")[c].alias(c) for c in added])
+    return held.select(*[c for c in docs.columns if c not in added], *[F.col("__tw_judged")[c].alias(c) for c in added])
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:

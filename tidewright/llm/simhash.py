@@ -389,12 +389,12 @@ def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, width: int =
     texts = materialize(traits.groupBy("same").agg(F.min(order).alias("u"), F.first("size").alias("size"), F.first("keys").alias("keys")).drop("same"), "near-texts")
     found = components(similar_links(texts, slim.select(order.alias("u"), "text"), width, similar))
     gone = found.where("node <> root").select(F.col("node").alias("u"))
-    keep = materialize(texts.select("u").join(gone, "u", "left_anti").select("u._id", "u._th"), "near-kept")
-    kept = docs.join(keep, docs[doc_id].eqNullSafe(keep["_id"]) & (F.xxhash64(docs[text]) == keep["_th"]), "left_semi")
+    keep = materialize(texts.select("u").join(gone, "u", "left_anti").select(F.col("u._id").alias("__tw_id"), F.col("u._th").alias("__tw_th")), "near-kept")
+    kept = docs.join(keep, docs[doc_id].eqNullSafe(keep["__tw_id"]) & (F.xxhash64(docs[text]) == keep["__tw_th"]), "left_semi")
     repeated = traits.groupBy("_id", "_th").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
         return kept
-    return kept.withColumn("_th", F.xxhash64(text)).dropDuplicates([doc_id, "_th"]).drop("_th")
+    return kept.withColumn("__tw_th", F.xxhash64(text)).dropDuplicates([doc_id, "__tw_th"]).drop("__tw_th")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
