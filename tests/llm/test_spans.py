@@ -1,6 +1,7 @@
 """Personal data, line dedup, licence scans and the pipeline against brute force."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -80,6 +81,18 @@ def test_disclosing_terms_are_spans_and_common_ones_are_not(spark, tmp_path):
     assert pii.sanitise(docs).columns == docs.columns and len(clean) == len(texts)
 
 
+def test_terms_of_groups_and_other_scripts(spark):
+    rows = [(i, f"Rufen Sie Frau Müller-Lüdenscheidt an, user{i}@firma{i % 2}.example.de oder Владимир{i}") for i in range(6)]
+    rows += [(10 + i, f"Нет данных {i} sie frau nothing here at all") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["_id"]: r for r in pii.find_personal(docs).collect()}
+    for i in range(6):
+        assert {x.m for x in found[i].terms} >= {"müller", "lüdenscheidt", "rufen", "oder"} and "frau" not in {x.m for x in found[i].terms}
+    assert not any(found[10 + i].terms for i in range(80))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "Müller" not in clean[0] and "user0@" not in clean[0] and clean[10] == rows[6][1]
+
+
 def brute_dedup(docs):
     where = defaultdict(list)
     for i, (d, t) in enumerate(docs):
@@ -138,6 +151,69 @@ def test_licences(spark, sf):
             assert (r.license in found) if found else r.license is None
 
 
+MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a
+# copy of this software and associated documentation files (the "Software"),
+# to deal in the Software without restriction, including without limitation
+# the rights to use, copy, modify, merge, publish, distribute, sublicense,
+# and/or sell copies of the Software"""
+HEADERS = {
+    "MIT": MIT_BODY,
+    "BSD-3-Clause": "/*\n * Copyright (c) 2020, Example\n * All rights reserved.\n *\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n * Redistributions of source code must retain the above copyright notice, this\n * list of conditions and the following disclaimer.\n */",
+    "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "GPL-2.0": "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License",
+    "LGPL-2.1": "// This library is free software; you can redistribute it and/or\n// modify it under the terms of the GNU Lesser General Public\n// License as published by the Free Software Foundation; either\n// version 2.1 of the License, or (at your option) any later version.",
+    "MPL-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Apache-2.0": "// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/LICENSE-2.0",
+}
+
+
+@pytest.mark.parametrize("among", [0, 400])
+def test_wrapped_headers(spark, among):
+    rows = [(i, f"{h}\n\nimport os\n" + "code line here\n" * 300) for i, h in enumerate(HEADERS.values())]
+    rows += [(100 + i, "some words about the weather and the like of it") for i in range(among)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs, ["doc_id"]).collect()}
+    assert got == dict(enumerate(HEADERS))
+
+
+def test_cosines_against_brute_force(spark):
+    docs = documents(SF01)[:400]
+    rows = [(i, t) for i, (_, t) in enumerate(docs)] + [(1000 + i, h) for i, h in enumerate(HEADERS.values())]
+    got = {r.id: (r.license, round(r.cosine, 6)) for r in licenses.scan(spark.createDataFrame(rows, "id long, text string"), ["id"]).collect()}
+    split = lambda t: [w for w in re.split("[^a-z0-9.]+", re.sub(r"\.(?![0-9])", " ", t.lower())) if w]
+    plain = lambda t: {w for w in re.split("[^a-z0-9.]+", t.lower()) if w}
+    bags = [Counter(split(t)) for _, t in licenses.TEMPLATES]
+    n = len(rows) + len(bags)
+    df = Counter(w for b in bags for w in b) + Counter(w for _, t in rows for w in plain(t))
+    known = {w for b in bags for w in b}
+    idf = lambda w: math.log((n + 1) / ((df[w] if w in known else 0) + 1)) + 1
+    norm = lambda b: math.sqrt(sum((c * idf(w)) ** 2 for w, c in b.items()))
+    expect = {}
+    for i, t in rows:
+        if not re.search(licenses._CUE[4:], t, re.I):
+            continue
+        units = ([(2, t)] if len(re.split(r"\s+", t)) <= licenses.SHORT_FILE else []) + [(1, u) for u in re.split(r"\n(?:[^\w\n]|_)*(?=\n)", t)] + [(0, u) for u in t.split("\n")]
+        best = None
+        for rank, u in units:
+            if re.search(licenses._CUE[4:], u, re.I):
+                bag = Counter(split(u))
+                for k, b in enumerate(bags):
+                    c = round(sum(x * idf(w) * b[w] * idf(w) for w, x in bag.items()) / norm(bag) / norm(b), 9)
+                    if c >= licenses.MIN_COSINE:
+                        name = licenses.TEMPLATES[k][0]
+                        best = max(best or (False,), (name not in licenses.WEAK, rank, c, -k, name))
+        if best:
+            expect[i] = (best[4], round(best[2], 6))
+    assert len(expect) > 10 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in expect.items()}
+    assert all(abs(got[k][1] - expect[k][1]) < 2e-6 for k in expect)
+
+
+def test_licences_in_conflict(spark):
+    rows = [("a/L1", "MIT", True), ("a/L2", "GPL-3.0", True), ("a/b/x", None, False), ("x", None, False)]
+    got = {r.path: (r.effective, r.conflict) for r in licenses.inherit(spark.createDataFrame(rows, "path string, license string, declares boolean")).collect()}
+    assert got == {"a/L1": ("MIT", False), "a/L2": ("GPL-3.0", False), "a/b/x": ("GPL-3.0 OR MIT", True), "x": (None, False)}
+
+
 def test_inheritance_from_the_nearest_directory(spark):
     rows = [("LICENSE", "MIT", True), ("a/LICENSE", "GPL-3.0", True), ("a/b/x.py", None, False), ("c/y.py", None, False), ("a/z.py", "BSD", False), (None, None, False), ("ab/q.py", None, False), ("d/e/f/g.py", None, False), ("a/b/x.py", None, False)]
     files = spark.createDataFrame(rows, "path string, license string, declares boolean")
