@@ -45,67 +45,90 @@ def test_base_scores(spark, sf):
         assert sum(r[6] for r in got if r[1]) > sum(r[5] for r in got if r[1])
 
 
-def test_rare_words_by_join_alike(spark):
-    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
-    tree, counts = pst.learn(docs.where(~pst.held_out(docs.doc_id)), p_count=1e-3, p_min=1e-3)
-    got = {r["_id"]: (r.n_known, r.base_score) for r in pst.score(docs, tree, counts, p_count=1e-3).collect()}
-    full, counts = pst.learn(docs.where(~pst.held_out(docs.doc_id)), p_count=1e-9, p_min=1e-3)
-    for r in pst.score(docs, full, counts, p_count=1e-9).collect():
-        assert got[r["_id"]][0] == r.n_known and abs(got[r["_id"]][1] - r.base_score) < 1e-6
-
-
-def test_tree_is_a_distribution_and_scores_are_its_own(spark, tmp_path):
+def brute_model(texts, p_head, depth, least=2):
+    """Probability of a word after the words before it, from dictionaries alone."""
+    docs = [toks(t) for t in texts]
+    c = Counter(w for d in docs for w in d)
+    n, v = sum(c.values()), len(c)
+    q = lambda w: (c[w] + 1) / (n + v + 1)
+    head = max(p_head * n, least)
+    alphabet = {w for w in c if c[w] >= head} | {""}
+    after = [None, *(Counter() for _ in range(depth))]  # (context, next word) by the context's length
+    for d in docs:
+        line = ["", *d]
+        for i in range(1, len(line)):
+            for k in range(1, depth + 1):
+                if i - k >= 0:
+                    after[k][tuple(line[i - k : i]), line[i]] += 1
+    sums = [None, *(Counter() for _ in range(depth))]
+    for k in range(1, depth + 1):
+        for (x, _), m in after[k].items():
+            sums[k][x] += m
+    kept: dict = {}
+
+    def p(x, w):
+        for k in range(min(len(x), depth), 0, -1):
+            if x[-k:] in kept:
+                own, rest = kept[x[-k:]]
+                return own[w] if w in own else rest * p(x[-k + 1 :] if k > 1 else (), w)
+        return q(w)
+
+    price = 0.5 * math.log(max(n, 2))
+    grown = {(w,) for w in c}
+    for k in range(1, depth + 1):
+        listed: dict = {}
+        for (x, w), m in after[k].items():
+            if x in grown and m >= (least if k == 1 else head) and (k == 1 or (w in alphabet and set(x) <= alphabet)):
+                listed.setdefault(x, {})[w] = m
+        new = {}
+        for x, own in listed.items():
+            s = sums[k][x]
+            low = {w: p(x[1:], w) for w in own}
+            r, rq = 1 - sum(own.values()) / s, max(1 - sum(low.values()), 1e-12)
+            kl = sum(m / s * math.log(m / s / low[w]) for w, m in own.items()) + (r * math.log(r / rq) if r > 1e-15 else 0)
+            if s * kl >= price * (len(own) + 1):
+                new[x] = ({w: (m - 0.5) / s for w, m in own.items()}, max(1 - sum((m - 0.5) / s for m in own.values()), 1e-12) / rq)
+        kept |= new
+        often = {(*x, w) for (x, w), m in after[k].items() if x in grown and m >= head and set((*x, w)) <= alphabet and w != ""}
+        grown = {x for x in often if x[1:] in (grown if k > 1 else {(w,) for w in alphabet})}
+    return p, kept, c
+
+
+@pytest.fixture(scope="module")
+def walks():
     rng = np.random.default_rng(1)
     texts = []
-    for _ in range(400):
+    for _ in range(300):
         w, state = [], "a"
-        for _ in range(60):
-            state = rng.choice(list("abc"), p={"a": [0.1, 0.8, 0.1], "b": [0.1, 0.1, 0.8], "c": [0.8, 0.1, 0.1]}[state])
-            w.append(str(state) if rng.random() > 0.05 else f"r{rng.integers(500)}")
+        for _ in range(40):
+            likely = {"a": "b", "b": "c" if w[-2:-1] == ["a"] else "a", "c": "a"}[state]
+            state = likely if rng.random() < 0.8 else rng.choice(list("abc"))
+            w.append(str(state) if rng.random() > 0.1 else f"r{rng.integers(60)} s{rng.integers(3)}")
         texts.append(" ".join(w))
-    sf = write(tmp_path, list(range(400)), texts)
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    tree, counts = pst.learn(docs, p_min=0.01, p_count=0.01)
-    assert tree.levels[0].kept.any()
-    c = Counter(w for t in texts for w in toks(t))
-    n, v = sum(c.values()), len(c)
-    frequent = sorted((w for w in c if w and c[w] >= 0.01 * n), key=lambda w: (-c[w], w))
-    symbol = {w: i + 2 for i, w in enumerate(frequent)} | {"": 1}
-    width = tree.n_symbols
-    assert width == len(frequent) + 2
-
-    def prob(context, s):
-        """Of a symbol after a tuple of symbols, by recursion."""
-        out = 10.0 ** tree.base[s]
-        place = None
-        for k in range(1, min(len(context), len(tree.levels)) + 1):
-            level = tree.levels[k - 1]
-            if k == 1:
-                place = context[-1]
-            else:
-                key = place * width + context[-k]
-                at = np.searchsorted(level.keys, key)
-                if at == len(level.keys) or level.keys[at] != key:
-                    break
-                place = int(level.names[at])
-            if level.kept[place]:
-                at = np.searchsorted(level.codes, place * width + s)
-                hit = at < len(level.codes) and level.codes[at] == place * width + s
-                out = 10.0 ** level.logs[at] if hit else out * 10.0 ** level.back[place]
-        return out
-
-    for context in ((1,), (2,), (3,), (2, 3), (4, 2, 3), (2, 2), (0, 2), (3, 4, 2)):
-        assert abs(sum(prob(context, s) for s in range(width)) - 1) < 1e-6
-    got = {r["_id"]: r.score for r in pst.score(docs, tree, counts, p_count=0.01).collect()}
-    rest = 10.0 ** tree.base[0]
-    for d in (0, 17, 255):
-        total, before = 0.0, [1]
-        for w in toks(texts[d]):
-            s = symbol.get(w, 0)
-            p = prob(tuple(before[-3:]), s) * ((c[w] + 1) / (n + v + 1) / rest if s == 0 else 1)
-            total, before = total + math.log10(p), [*before, s]
-        assert abs(total - got[d]) < 1e-6
-    assert sum(got.values()) > sum(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in toks(t)) for t in texts) + 100
+    return texts
+
+
+@pytest.mark.parametrize("p_head, p_count, depth", [(0.01, 0.01, 3), (0.01, 0.0005, 3), (0.001, 0.0005, 2), (0.5, 0.5, 1)])
+def test_scores_are_those_of_the_brute_model(spark, walks, p_head, p_count, depth):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(walks)], "doc_id long, text string")
+    new = [*walks[:5], "a b unknown c r1 s1 a", "", "r5 s0 r5 s0 a b c a b c", None]
+    more = spark.createDataFrame(list(enumerate(new)), "doc_id long, text string")
+    got = {r["_id"]: r for r in pst.score(more, pst.learn(docs, p_head=p_head, p_count=p_count, depth=depth)).collect()}
+    p, kept, c = brute_model(walks, p_head, depth)
+    assert any(len(x) == 1 and x[0].startswith("r") for x in kept) or p_head == 0.5
+    assert depth == 1 or any(len(x) == 2 for x in kept)
+    for i, t in enumerate(new):
+        line = ["", *toks(t)]
+        expect = sum(math.log10(p(tuple(line[max(0, k - depth) : k]), line[k])) for k in range(1, len(line)))
+        assert abs(got[i].score - expect) < 1e-6 and got[i].n_known == sum(c[w] > 0 for w in line[1:])
+    for x in [("a",), ("r1",), ("a", "b"), ("s0", "c"), ("",), ("zz",)]:
+        assert abs(sum(p(x, w) for w in c) + p(x, "unseen") - 1) < 1e-9
+
+
+def test_contexts_grow_with_the_input(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    some = pst.learn(docs.where("doc_id % 4 = 0")).fixes.count()
+    assert pst.learn(docs).fixes.count() > 2 * some > 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>

@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,25 @@ def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(trimmed, schema)
 
 
+#: Bits of a filter of keys for each of them, and the most it may have (16 MB). A full filter lets
+#: more pass, which costs shuffle but changes no result.
+FILTER_RATIO, FILTER_BITS = 16, 1 << 27
+
+
+def bit_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """Bits (of the low bits) of a column of hashes, a power of two of them in number."""
+    n = keys.count()
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (FILTER_RATIO * n).bit_length()))
+    slot = F.col(key).bitwiseAND(F.lit(bits - 1)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()  # at most FILTER_BITS bits
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        m = np.frombuffer(bytes(r.m), np.uint8)
+        at = (r.b - 1) * len(m)
+        out[at : at + len(m)] = m[: len(out) - at]
+    return out
+
+
 def words(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text as an array; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANK}]+"), lambda w: w != "")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, let, materialize, row_key
+from .common import bit_filter, in_arrow, let, materialize, row_key
 
 #: Lines over which the rolling hash that sets a border runs, and the mean number of lines between borders.
 WINDOW, MEAN_LINES = 2, 3
@@ -81,11 +81,6 @@ def chunks(text: bytes | None, min_words: int = MIN_WORDS) -> list[tuple[int, in
     return out
 
 
-#: Bits of the filter of repeated hashes for each of them, and the most it may have (16 MB). A
-#: full filter lets more chunks pass, which costs shuffle but changes no result.
-FILTER_RATIO, FILTER_BITS = 16, 1 << 27
-
-
 def _hashes(docs: DataFrame, min_words: int) -> DataFrame:
     """One row a chunk: h."""
 
@@ -97,20 +92,6 @@ def _hashes(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("t").transform(in_arrow, run, "h long")
 
 
-def _filter(repeated: DataFrame) -> np.ndarray:
-    """Bits of the repeated hashes, a power of two of them in number."""
-    n = repeated.count()
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (FILTER_RATIO * n).bit_length()))
-    slot = F.col("h").bitwiseAND(F.lit(bits - 1)) + 1
-    rows = repeated.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()  # at most FILTER_BITS bits
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        m = np.frombuffer(bytes(r.m), np.uint8)
-        at = (r.b - 1) * len(m)
-        out[at : at + len(m)] = m[: len(out) - at]
-    return out
-
-
 def _held(docs: DataFrame, passing: np.ndarray, min_words: int) -> DataFrame:
     """_id, _th, h, lo, hi, bytes and their digest d of the chunks whose hash passes the filter."""
     shipped = docs.sparkSession.sparkContext.broadcast(passing)
@@ -147,7 +128,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     """
     slim = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(text).alias("t"))
     repeated = materialize(_hashes(slim, min_words).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-hashes")
-    held = materialize(_held(slim, _filter(repeated), min_words), "line-chunks")
+    held = materialize(_held(slim, bit_filter(repeated, "h"), min_words), "line-chunks")
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("_id"), F.col("_th").alias("_th"), F.col("lo").alias("lo"))
     same = held.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.first("d").alias("d"), F.count("*").alias("n")).where("n > 1").select("h", "d", "first")
     again = held.drop("bytes").withColumn("place", place).join(same, ["h", "d"]).where(F.col("place") != F.col("first"))

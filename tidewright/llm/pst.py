@@ -8,23 +8,27 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, materialize, table
+from .common import bit_filter, in_arrow, materialize, table
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b""  # the token after a text's words; no word is empty
 
-#: Least share of the training tokens that a tree's symbol, or a context with its next symbol,
-#: has. It bounds the tree's alphabet, and each level's contexts, by 1 / P_MIN at any input size.
-P_MIN = 1e-5
-#: Least share of a word whose count is broadcast; counts of rarer words come by a join.
+#: Least count of a next word that a context of one word has for its own, at any input size.
+MIN_COUNT = 2
+#: Least share of the training tokens of what is broadcast: words of the alphabet, their contexts
+#: and next words. For contexts of one word it is a cache and changes no result; longer contexts
+#: are those of the alphabet that have this share.
+P_HEAD = 1e-5
+#: Least share of a word whose number and count are broadcast; counts of rarer words come by a join.
 P_COUNT = 1e-6
 DEPTH = 3
 DISCOUNT = 0.5
-RARE_SYMBOL, END_SYMBOL = 0, 1
+END_PLACE = 0
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -58,11 +62,32 @@ def count_tokens(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).transform(in_arrow, run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def name_of(word: bytes) -> int:
+    """A word's name in tables: 63 bits of its hash, negative."""
+    return ~(xxhash.xxh64_intdigest(word, 42) >> 1)
+
+
+def _name(word: Column) -> Column:
+    """The same name as an expression."""
+    return F.bitwise_not(F.shiftrightunsigned(F.xxhash64(word), 1))
+
+
+def _pair(a: Column, s: Column) -> Column:
+    """The key of a context and a next word, from their names."""
+    return a.bitwiseXOR(F.shiftleft(s, 17).bitwiseOR(F.shiftrightunsigned(s, 47)))
+
+
+def _pairs(a: np.ndarray, s: np.ndarray) -> np.ndarray:
+    u = s.view(np.uint64)
+    return a ^ ((u << np.uint64(17)) | (u >> np.uint64(47))).view(np.int64)
+
+
 @dataclass
 class Level:
-    """Contexts of one length. `keys` are suffix context * width + symbol before it, sorted;
-    `names` the contexts at the same places. For kept contexts `back` has log10 of the weight of
-    the suffix's distribution, and (`codes`, `logs`) next symbols with their log10 probabilities."""
+    """Contexts of one length over the alphabet. `keys` are suffix context * width + word before
+    it, sorted; `names` the contexts at the same places. For kept contexts `back` has log10 of the
+    weight of the suffix's distribution, and (`codes`, `logs`) next words with their log10
+    probabilities; codes are context * width + word."""
 
     keys: np.ndarray
     names: np.ndarray
@@ -75,19 +100,18 @@ class Level:
 
 @dataclass
 class Tree:
-    """symbols: the words of the broadcast dictionary by falling count, the first `n_symbols` - 2
-    of them being the tree's own symbols from 2 on."""
+    """Words have places by falling count (the end is 0) down to `P_COUNT`; the first `width` are
+    the alphabet. `fixes` is the table (h, delta) of all other contexts of one word and their next
+    words, `passing` the filter of its keys."""
 
-    n_symbols: int
+    width: int
     total: int
     types: int
-    words: dict[bytes, int]
     counts: np.ndarray
-    base: np.ndarray  # log10 of the level-0 probability of each symbol
+    hashes: np.ndarray
+    base: np.ndarray  # log10 of the level-0 probability of each place
     levels: list[Level] = field(default_factory=list)
-
-    def log_count(self, c):
-        return np.log10((c + 1.0) / (self.total + self.types + 1.0))
+    passing: np.ndarray | None = None
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,84 +122,128 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
+def _before(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each position; a text begins as if an end came before it."""
+    out = np.concatenate(([END_PLACE], ids[:-1]))
+    out[first] = END_PLACE
+    return out
+
+
 def contexts(tree: Tree, symbols: np.ndarray, first: np.ndarray):
     """For each level in turn, the context of that length before every position, or -1.
 
-    symbols: those of texts one after another, each closed by the end symbol; first: whether a
-    position is a text's first. A text begins as if an end came before it, and nothing before.
+    symbols: those of texts one after another, -1 outside the alphabet; first: the texts' first
+    places. Before the end that a text begins with there is nothing.
     """
     n = len(symbols)
-    shifted = np.concatenate(([END_SYMBOL], symbols[:-1]))
-    shifted[first] = END_SYMBOL
-    here = np.arange(n)
-    starts = np.maximum.accumulate(np.where(first, here, 0))
-    context = shifted.astype(np.int64)
+    context = _before(symbols, first)
     yield context
+    here = np.arange(n)
+    marks = np.zeros(n, np.int64)
+    marks[first] = first
+    starts = np.maximum.accumulate(marks)
     for k, level in enumerate(tree.levels[1:], 2):
-        before = here - k
-        left = np.where(before >= starts, symbols[np.maximum(before, 0)], np.where(before == starts - 1, END_SYMBOL, -1))
+        at = here - k
+        left = np.where(at >= starts, symbols[np.maximum(at, 0)], np.where(at == starts - 1, END_PLACE, -1))
         ok = (context >= 0) & (left >= 0)
-        at, there = _found(level.keys, np.where(ok, context * tree.n_symbols + left, -1))
-        context = np.where(ok & there, level.names[at] if len(level.names) else -1, -1)
+        place, there = _found(level.keys, np.where(ok, context * tree.width + left, -1))
+        context = np.where(ok & there, level.names[place] if len(level.names) else -1, -1)
         yield context
 
 
-def _symbols(tree: Tree, texts: list[bytes | None]):
-    """Symbols of texts one after another, their first places, and their places in the dictionary (-1: rare)."""
-    ids, first, spans = [], [], []
-    get = tree.words.get
-    n = 0
-    for t in texts:
-        w = tokens(t)
-        spans.append(w)
-        ids.append(np.fromiter((get(x, -1) for x in w), np.int64, len(w)))
-        first.append(n)
-        n += len(w)
-    place = np.concatenate(ids)
-    is_first = np.zeros(n, bool)
-    is_first[first] = True
-    end = tree.words.get(END, -1)
-    symbol = np.where((place >= 0) & (place < tree.n_symbols - 1), place + 2, RARE_SYMBOL)
-    # The end has a place in the dictionary by its count; its symbol is its own.
-    symbol = np.where(symbol - 2 >= end, symbol - 1, symbol) if 0 <= end < tree.n_symbols - 1 else symbol
-    symbol[place == end] = END_SYMBOL
-    symbol[np.array(first[1:] + [n]) - 1] = END_SYMBOL
-    return symbol.astype(np.int64), is_first, place, spans, np.array(first, np.int64)
-
-
-def _chunks(values: list, characters: int = 4_000_000):
-    part, size = [], 0
-    for v in values:
-        part.append(v)
-        size += len(v or b"")
-        if size >= characters:
-            yield part
-            part, size = [], 0
+def _chunks(column, words: int = 500_000):
+    """(first row, ids of texts one after another, their first places) for some texts at a time."""
+    part, size, begin = [], 0, 0
+    for k, v in enumerate(column.to_pylist()):
+        part.append(np.frombuffer(v, "<i8"))
+        size += len(part[-1])
+        if size >= words:
+            yield begin, np.concatenate(part), np.cumsum([0, *map(len, part[:-1])])
+            part, size, begin = [], 0, k + 1
     if part:
-        yield part
+        yield begin, np.concatenate(part), np.cumsum([0, *map(len, part[:-1])])
 
 
-def _count_level(docs: DataFrame, tree_at, text: str) -> DataFrame:
-    """(code, n): next symbols of the deepest level's contexts, and code width - 1 for the context's total."""
+def encode(docs: DataFrame, words: dict[bytes, int], doc_id: str, text: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """row, _id, ids (little-endian longs: a word's place, or its name if it has none) and rare
+    (words without a place, with their number) of every text: the one pass that reads words."""
+    shipped = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        get, task, row = shipped.value.get, TaskContext.get().partitionId() << 36, 0
+        for batch in batches:
+            ids, rare = [], []
+            for t in batch.column(1).cast(pa.binary()).to_pylist():
+                w = tokens(t)
+                place = np.fromiter((get(x, -1) for x in w), "<i8", len(w))
+                out = np.flatnonzero(place < 0).tolist()
+                new = Counter(w[i] for i in out)
+                named = {x: name_of(x) for x in new}
+                place[out] = [named[w[i]] for i in out]
+                ids.append(place.tobytes())
+                rare.append([{"w": k, "n": v} for k, v in new.items()] or None)
+            cols = [pa.array(np.arange(len(ids), dtype=np.int64) + row + task), batch.column(0), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[2:]], names=["row", "_id", "ids", "rare", *extra])
+            row += len(ids)
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([f"row long, _id {kinds[doc_id]}, ids binary, rare array<struct<w:binary,n:bigint>>", *[f"{c} {kinds[c]}" for c in extra]])
+    return docs.select(F.col(doc_id).alias("_id"), text, *extra).transform(in_arrow, run, schema)
+
+
+def _count_pairs(encoded: DataFrame, hashes) -> DataFrame:
+    """(a, s, n): the names of each word and its next one, and how often they are."""
+
+    def run(batches):
+        name, held, size = hashes.value, [], 0
+
+        def merged():
+            a, s, n = (np.concatenate(x) for x in zip(*held))
+            _, at, back = np.unique(_pairs(a, s), return_index=True, return_inverse=True)
+            return a[at], s[at], np.bincount(back, weights=n).astype(np.int64)
+
+        out = lambda x: pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=["a", "s", "n"])
+        for batch in batches:
+            for _, ids, first in _chunks(batch.column(0)):
+                s = np.where(ids >= 0, name[np.maximum(ids, 0)], ids)
+                a = _before(ids, first)
+                a = np.where(a >= 0, name[np.maximum(a, 0)], a)
+                _, at, n = np.unique(_pairs(a, s), return_index=True, return_counts=True)
+                held.append((a[at], s[at], n))
+                size += len(n)
+                if size > 3_000_000:
+                    done = merged()
+                    if len(done[0]) > 1_500_000:
+                        yield out(done)
+                        held, size = [], 0
+                    else:
+                        held, size = [done], len(done[0])
+        if held:
+            yield out(merged())
+
+    return encoded.select("ids").transform(in_arrow, run, "a long, s long, n long").groupBy("a", "s").agg(F.sum("n").alias("n"))
+
+
+def _count_level(encoded: DataFrame, tree_at) -> DataFrame:
+    """(code, n): next words of the deepest level's contexts, and code width for the context's total."""
 
     def run(batches):
         tree = tree_at.value
-        width = tree.n_symbols + 1
-        codes, counts = [], []
-        held = 0
+        width = tree.width + 1
+        codes, counts, held = [], [], 0
 
         def merged():
             c, inverse = np.unique(np.concatenate(codes), return_inverse=True)
             return c, np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
 
         for batch in batches:
-            for part in _chunks(batch.column(0).cast(pa.binary()).to_pylist()):
-                symbols, first, *_ = _symbols(tree, part)
+            for _, ids, first in _chunks(batch.column(0)):
+                symbols = np.where((ids >= 0) & (ids < tree.width), ids, -1)
                 for context in contexts(tree, symbols, first):
                     pass
-                ok = context >= 0
-                c = context[ok] * width
-                some, n = np.unique(np.concatenate((c + symbols[ok], c + width - 1)), return_counts=True)
+                ok = np.flatnonzero(context >= 0)
+                c, s = context[ok] * width, symbols[ok]
+                some, n = np.unique(np.concatenate(((c + s)[s >= 0], c + tree.width)), return_counts=True)
                 codes.append(some)
                 counts.append(n)
                 held += len(some)
@@ -190,53 +258,104 @@ def _count_level(docs: DataFrame, tree_at, text: str) -> DataFrame:
             c, n = merged()
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], names=["code", "n"])
 
-    return docs.select(text).transform(in_arrow, run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").transform(in_arrow, run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _suffix_log(tree: Tree, string: tuple[int, ...], symbol: np.ndarray) -> np.ndarray:
-    """log10 probabilities of symbols after a string's longest proper suffix, by the levels done."""
+    """log10 probabilities of words after a string's longest proper suffix, by the levels done."""
     out = tree.base[symbol].copy()
     for k in range(1, len(string)):
         level = tree.levels[k - 1]
         context = level.index[string[-k:]]
         if level.kept[context]:
-            at, there = _found(level.codes, context * tree.n_symbols + symbol)
+            at, there = _found(level.codes, context * tree.width + symbol)
             out = np.where(there, level.logs[at] if len(level.logs) else 0.0, out + level.back[context])
     return out
 
 
-def learn(docs: DataFrame, text: str = "text", p_min: float = P_MIN, p_count: float = P_COUNT, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The suffix tree of the documents' words, and the table (word, c) of all counts.
+def _deeper(tree: Tree, context: np.ndarray, symbol: np.ndarray) -> bool:
+    """Add the contexts one longer than the last level's, from its next words; whether there are any."""
+    level = tree.levels[-1]
+    longer = [(*level.strings[c], int(s)) for c, s in zip(context.tolist(), symbol.tolist()) if s != END_PLACE]
+    longer = [x for x in longer if x[1:] in level.index]
+    if not longer:
+        return False
+    keys = np.array([level.index[x[1:]] * tree.width + x[0] for x in longer], np.int64)
+    order = np.argsort(keys)
+    tree.levels.append(Level(keys[order], np.arange(len(longer))[order], longer))
+    tree.levels[-1].index = {x: i for i, x in enumerate(longer)}
+    return True
+
+
+def _first_level(tree: Tree, pairs: DataFrame, counts: DataFrame, price: float, least: float) -> DataFrame:
+    """Contexts of one word, of all words: kept ones and their next words as (h, delta).
 
-    Level by level, contexts are extended by a word on the left where that string has a share of
-    `p_min` of the tokens. A context is kept if its next-symbol distribution diverges from its
-    longest suffix's by more than its own number of parameters is worth (n * KL over
-    ln(N) / 2 for each next symbol held). Next symbols below `p_min` and words outside the
-    alphabet share what the discounted others leave, in proportion to the suffix's distribution.
+    h is the key of a context and a next word, or the name of a context that is not in the
+    alphabet; delta is what the longest suffix's log10 probability changes by there: the weight of
+    the unlisted words for a context, and on top of it the word's own probability. Frequent
+    contexts and next words become the first level of the broadcast tree instead.
     """
-    sc = docs.sparkSession.sparkContext
-    counts = materialize(count_tokens(docs, text), "pst-counts")
+    n_all = float(tree.total + tree.types + 1)
+    named = counts.select(_name(F.col("word")).alias("id"), "c")
+    q = (F.col("c") + 1.0) / n_all
+    rows = materialize(pairs.join(named.withColumnRenamed("id", "s"), "s").select("a", "s", "n", q.alias("q")), "pst-next")
+    sums = rows.groupBy("a").agg(F.sum("n").alias("sn"), F.sum("q").alias("sq"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("t"), F.count("*").alias("m"))
+    held = sums.join(named.withColumnRenamed("id", "a"), "a")
+    c = F.col("c")
+    r, rq = 1.0 - F.col("sn") / c, F.greatest(1.0 - F.col("sq"), F.lit(1e-12))
+    divergence = (F.col("t") - F.col("sn") * F.log(c)) / c + F.when(r > 0, r * F.log(r / rq)).otherwise(0.0)
+    back = F.log10(F.greatest((c - F.col("sn") + DISCOUNT * F.col("m")) / c, F.lit(1e-12)) / rq)
+    kept = materialize(held.where(c * divergence >= price * (F.col("m") + 1)).select("a", "c", back.alias("back")), "pst-contexts")
+    listed = rows.join(kept, "a").select("a", "s", "n", F.log10((F.col("n") - DISCOUNT) / c).alias("log"), "q", "back")
+    place = {int(h): i for i, h in enumerate(tree.hashes[: tree.width].tolist())}
+    level = Level(np.arange(tree.width), np.arange(tree.width), [(s,) for s in range(tree.width)], np.zeros(tree.width, bool), np.zeros(tree.width))
+    level.index = {(s,): s for s in range(tree.width)}
+    common = (c >= least) | (F.col("a") == name_of(END))
+    for x in kept.where(common).collect():  # at most 1 / P_HEAD rows and the end
+        if x.a in place:
+            level.kept[place[x.a]], level.back[place[x.a]] = True, x.back
+    head = sorted((place[x.a] * tree.width + place[x.s], x.log) for x in listed.where(F.col("n") >= least).select("a", "s", "log").collect() if x.a in place and x.s in place)  # as many
+    level.codes, level.logs = np.array([x[0] for x in head], np.int64), np.array([x[1] for x in head], np.float64)
+    tree.levels.append(level)
+    entries = listed.where(F.col("n") < least).select(_pair(F.col("a"), F.col("s")).alias("h"), (F.col("log") - F.log10("q") - F.col("back")).alias("delta"))
+    outside = kept.where(~common).select(F.col("a").alias("h"), F.col("back").alias("delta"))
+    fixes = materialize(entries.union(outside), "pst-fixes")
+    tree.passing = bit_filter(fixes, "h")
+    return fixes
+
+
+def _dictionary(counts: DataFrame, p_head: float, p_count: float) -> tuple[Tree, dict[bytes, int]]:
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where(F.col("c") >= p_count * total).collect() if total else []  # at most 1 / p_count rows
-    frequent.sort(key=lambda r: (-r.c, bytes(r.word)))
-    words = {bytes(r.word): i for i, r in enumerate(frequent)}
-    known = np.array([r.c for r in frequent], np.float64)
-    inside = [i for i, r in enumerate(frequent) if r.c >= p_min * total and bytes(r.word) != END]
-    tree = Tree(len(inside) + 2, int(total), int(types), words, known, np.empty(0))
-    end = float(known[words[END]]) if END in words else 0.0
-    own = tree.log_count(np.array([end, *known[inside]])) if total else np.zeros(1)
-    rest = max(1.0 - float(np.sum(10.0**own)), 1e-12)
-    tree.base = np.concatenate(([math.log10(rest)], own))
-    n = tree.n_symbols
-    tree.levels.append(Level(np.arange(n), np.arange(n), [(s,) for s in range(n)]))
-    tree.levels[0].index = {(s,): s for s in range(n)}
-    price = 0.5 * math.log(max(total, 2))
-    for k in range(1, depth + 1):
+    frequent = [(bytes(r.word), r.c) for r in counts.where(F.col("c") >= p_count * total).collect()] if total else []  # at most 1 / p_count rows
+    frequent.sort(key=lambda r: (r[0] != END, -r[1], r[0]))
+    if not frequent or frequent[0][0] != END:
+        frequent.insert(0, (END, 0))
+    known = np.array([c for _, c in frequent], np.float64)
+    width = 1 + int(np.sum(known[1:] >= max(p_head * total, MIN_COUNT)))
+    tree = Tree(width, int(total), int(types), known, np.array([name_of(w) for w, _ in frequent], np.int64), np.log10((known + 1.0) / (total + types + 1.0)))
+    return tree, {w: i for i, (w, _) in enumerate(frequent)}
+
+
+def _learn(encoded: DataFrame, tree: Tree, counts: DataFrame, p_head: float, depth: int, min_count: int) -> DataFrame:
+    """Grow the tree from encoded texts; the table of the contexts that are not broadcast."""
+    sc = encoded.sparkSession.sparkContext
+    least = max(p_head * tree.total, min_count)
+    price = 0.5 * math.log(max(tree.total, 2))
+    pairs = materialize(_count_pairs(encoded, sc.broadcast(tree.hashes)).where(F.col("n") >= min_count), "pst-pairs")
+    fixes = _first_level(tree, pairs, counts, price, least)
+    place = {int(h): i for i, h in enumerate(tree.hashes[: tree.width].tolist())}
+    often = [(place[r.a], place[r.s]) for r in pairs.where(F.col("n") >= least).select("a", "s").collect() if r.a in place and r.s in place]  # at most 1 / p_head rows
+    often.sort()
+    context, symbol = np.array([x[0] for x in often], np.int64), np.array([x[1] for x in often], np.int64)
+    n = tree.width
+    for _ in range(2, depth + 1):
+        if not _deeper(tree, context, symbol):
+            break
         level = tree.levels[-1]
         shipped = sc.broadcast(tree)
-        found = _count_level(docs, shipped, text)
+        found = _count_level(encoded, shipped)
         is_total = F.col("code") % (n + 1) == n
-        rows = found.where(is_total | (F.col("n") >= max(p_min * total, 2))).collect()  # at most 2 / p_min rows
+        rows = found.where(is_total | (F.col("n") >= least)).collect()  # at most 2 / p_head rows
         shipped.unpersist()
         code, seen = np.array([r.code for r in rows], np.int64), np.array([r.n for r in rows], np.float64)
         context, symbol = code // (n + 1), code % (n + 1)
@@ -248,12 +367,13 @@ def learn(docs: DataFrame, text: str = "text", p_min: float = P_MIN, p_count: fl
         context, symbol, seen = context[order], symbol[order], seen[order]
         level.kept, level.back = np.zeros(len(level.strings), bool), np.zeros(len(level.strings))
         codes, logs = [], []
-        for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.flatnonzero(np.diff(context, prepend=-1, append=-1)))):
+        edges = np.flatnonzero(np.diff(context, prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:]):
             c, s, m = int(context[a]), symbol[a:b], seen[a:b]
-            before = 10.0 ** _suffix_log(tree, level.strings[c], s)
+            lower = 10.0 ** _suffix_log(tree, level.strings[c], s)
             p = m / sums[c]
-            r, q = max(1.0 - p.sum(), 0.0), max(1.0 - before.sum(), 1e-12)
-            divergence = float(np.sum(p * np.log(p / before)) + (r * math.log(r / q) if r > 0 else 0.0))
+            r, q = max(1.0 - p.sum(), 0.0), max(1.0 - lower.sum(), 1e-12)
+            divergence = float(np.sum(p * np.log(p / lower)) + (r * math.log(r / q) if r > 0 else 0.0))
             if sums[c] * divergence < price * (len(s) + 1):
                 continue
             p = (m - DISCOUNT) / sums[c]
@@ -261,96 +381,124 @@ def learn(docs: DataFrame, text: str = "text", p_min: float = P_MIN, p_count: fl
             codes.append(c * n + s)
             logs.append(np.log10(p))
         level.codes, level.logs = (np.concatenate(codes), np.concatenate(logs)) if codes else (np.empty(0, np.int64), np.empty(0))
-        if k == depth:
-            break
-        longer = [(*level.strings[c], int(s)) for c, s in zip(context.tolist(), symbol.tolist()) if s != END_SYMBOL]
-        longer = [x for x in longer if x[1:] in level.index]
-        if not longer:
-            break
-        keys = np.array([level.index[x[1:]] * n + x[0] for x in longer], np.int64)
-        order = np.argsort(keys)
-        deeper = Level(keys[order], np.arange(len(longer))[order], longer)
-        deeper.index = {x: i for i, x in enumerate(longer)}
-        tree.levels.append(deeper)
     for level in tree.levels:
         del level.index
         level.strings = []
-    return tree, counts
-
+    return fixes
 
-def score(docs: DataFrame, tree: Tree, counts: DataFrame, doc_id: str = "doc_id", text: str = "text", p_count: float = P_COUNT) -> DataFrame:
-    """_id, n_tokens, n_known, base_score and score of every row.
 
-    Frequent words are scored in the pass over the texts. Each text's rare words leave it with
-    their number and meet their counts in a join on the word; a rare word's probability is that
-    of the rare symbol in its context, shared out like the base distribution. Null and empty
-    texts are one end token; repeated rows are scored alike, each for itself.
-    """
-    sc = docs.sparkSession.sparkContext
-    shipped = sc.broadcast(tree)
+def _score(encoded: DataFrame, tree: Tree, fixes: DataFrame, counts: DataFrame, p_count: float) -> DataFrame:
+    shipped = encoded.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):
-        tree, task, row = shipped.value, TaskContext.get().partitionId() << 36, 0
-        known = tree.log_count(tree.counts) if len(tree.counts) else np.zeros(1)
+        tree = shipped.value
+        bits, width = tree.passing, tree.width
+        mask = len(bits) * 8 - 1
+        first_level, deeper = tree.levels[0], tree.levels[1:]
+
+        def passing(h):
+            slot = h & mask
+            return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
         for batch in batches:
-            ids, at = batch.column(0), 0
-            for part in _chunks(batch.column(1).cast(pa.binary()).to_pylist()):
-                symbols, first, place, spans, starts = _symbols(tree, part)
-                logs = tree.base[symbols]
-                for level, context in zip(tree.levels, contexts(tree, symbols, first)):
+            for begin, ids, first in _chunks(batch.column("ids")):
+                frequent = ids >= 0
+                symbols = np.where(frequent & (ids < width), ids, -1)
+                base = np.where(frequent, tree.base[np.maximum(ids, 0)], 0.0)
+                each = contexts(tree, symbols, first)
+                context = next(each)
+                inside = context >= 0
+                kept = inside & first_level.kept[context]
+                at, listed = _found(first_level.codes, np.where(kept & (symbols >= 0), context * width + symbols, -1))
+                logs = base + np.where(kept, first_level.back[context], 0.0)
+                logs = np.where(listed, first_level.logs[at] if len(first_level.logs) else 0.0, logs)
+                for level, context in zip(deeper, each):
                     if level.kept is None or not level.kept.any():
                         continue
                     ok = np.flatnonzero(context >= 0)
                     ok = ok[level.kept[context[ok]]]
-                    where, there = _found(level.codes, context[ok] * tree.n_symbols + symbols[ok])
+                    code = np.where(symbols[ok] >= 0, context[ok] * width + symbols[ok], -1)
+                    where, there = _found(level.codes, code)
                     logs[ok] = np.where(there, level.logs[where], logs[ok] + level.back[context[ok]])
-                # Outside the alphabet a word has its share of the rare symbol's mass.
-                frequent = place >= 0
-                base = np.where(frequent, known[np.maximum(place, 0)], 0.0)
-                logs = np.where(symbols == RARE_SYMBOL, logs - tree.base[RARE_SYMBOL] + base, logs)
-                rare = []
-                for w, a in zip(spans, starts.tolist()):
-                    new = Counter(w[i] for i in np.flatnonzero(~frequent[a : a + len(w)]).tolist())
-                    rare.append([{"w": k, "n": v} for k, v in new.items()] or None)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(len(part), dtype=np.int64) + row + task),
-                        ids.slice(at, len(part)),
-                        pa.array([len(w) for w in spans], pa.int64()),
-                        pa.array(np.add.reduceat(frequent.astype(np.int64), starts)),
-                        pa.array(np.add.reduceat(base, starts)),
-                        pa.array(np.add.reduceat(logs, starts)),
-                        pa.array(rare, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))),
-                    ],
-                    names=["row", "_id", "n_tokens", "known", "base", "logs", "rare"],
-                )
-                row, at = row + len(part), at + len(part)
-
-    kind = dict(docs.dtypes)[doc_id]
-    schema = f"row long, _id {kind}, n_tokens long, known long, base double, logs double, rare array<struct<w:binary,n:bigint>>"
-    seen = materialize(docs.select(F.col(doc_id).alias("_id"), text).transform(in_arrow, run, schema), "pst-scored")
-    rare = seen.select("row", F.explode("rare").alias("x")).select("row", F.col("x.w").alias("word"), F.col("x.n").alias("k"))
+                    listed[ok] |= there
+                # What is not settled by the broadcast tree meets the table by its keys.
+                name = lambda x: np.where(x >= 0, tree.hashes[np.maximum(x, 0)], x)
+                open_ = np.flatnonzero(~listed & (kept | ~inside))
+                a = name(_before(ids, first)[open_])
+                h = _pairs(a, name(ids[open_]))
+                pair, alone = passing(h), ~inside[open_]
+                alone[alone] = passing(a[alone])
+                keys, owner = np.concatenate((h[pair], a[alone])), np.concatenate((open_[pair], open_[alone]))
+                text = np.searchsorted(first, owner, side="right") - 1
+                order = np.argsort(text, kind="stable")
+                ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(first)))))
+                sums = [np.add.reduceat(x, first) for x in (frequent.astype(np.int64), base, logs)]
+                lengths = np.diff(np.append(first, len(ids)))
+                part = batch.slice(begin, len(first))
+                cols = [part.column("row"), part.column("_id"), *map(pa.array, (lengths, *sums)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order]))]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "_id", "n_tokens", "known", "base", "logs", "keys"])
+
+    kind = dict(encoded.dtypes)["_id"]
+    seen = materialize(encoded.select("row", "_id", "ids").transform(in_arrow, run, f"row long, _id {kind}, n_tokens long, known long, base double, logs double, keys array<long>"), "pst-scored")
+    zero = F.lit(0).cast("long")
+    found = seen.select("row", F.explode("keys").alias("h")).join(fixes, "h").select("row", zero.alias("known"), F.lit(0.0).alias("base"), F.col("delta").alias("logs"))
     few = counts.where(F.col("c") < p_count * tree.total)
-    c = F.coalesce("c", F.lit(0))
-    by_row = (
-        rare.join(few, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("k") * F.log10((c + 1.0) / F.lit(float(tree.total + tree.types + 1)))).alias("more"),
-            F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("more_known"),
-        )
-    )
-    more = F.coalesce("more", F.lit(0.0))
-    return (
-        seen.drop("rare")
-        .join(by_row, "row", "left")
-        .select("_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("logs") + more).alias("score"))
-    )
+    c = F.coalesce("c", zero)
+    rare = encoded.select("row", F.explode("rare").alias("x")).select("row", F.col("x.w").alias("word"), F.col("x.n").alias("k")).join(few, "word", "left")
+    log = F.col("k") * F.log10((c + 1.0) / F.lit(float(tree.total + tree.types + 1)))
+    rare = rare.select("row", F.when(c > 0, F.col("k")).otherwise(zero).alias("known"), log.alias("base"), log.alias("logs"))
+    more = found.union(rare).groupBy("row").agg(*[F.sum(x).alias(f"more_{x}") for x in ("known", "base", "logs")])
+    total = lambda x: (F.col(x) + F.coalesce(f"more_{x}", F.lit(0).cast(dict(seen.dtypes)[x])))
+    return seen.drop("keys").join(more, "row", "left").select("_id", "n_tokens", total("known").alias("n_known"), total("base").alias("base_score"), total("logs").alias("score"))
+
+
+@dataclass
+class Model:
+    """A tree, its dictionary, and the tables of counts and of contexts that are not broadcast."""
+
+    tree: Tree
+    words: dict[bytes, int]
+    counts: DataFrame
+    fixes: DataFrame
+    p_count: float
+
+
+def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p_head: float = P_HEAD, p_count: float = P_COUNT, depth: int = DEPTH, min_count: int = MIN_COUNT) -> Model:
+    """The suffix tree of the documents' words.
+
+    Every word is a context, and has the next words that follow it `min_count` times or more for
+    its own; these are tables that grow with the input. Over the alphabet (words with a share of
+    `p_head`), contexts with that share are extended on the left up to `depth` words. A context is
+    kept if its next-word distribution diverges from its longest suffix's by more than its own
+    number of parameters is worth (n * KL over ln(N) / 2 for each next word held). Other words
+    share what the discounted own ones leave, in proportion to the suffix's distribution; that of
+    no context is the smoothed share of each word. Null and empty texts are one end; an empty
+    table gives a model that knows nothing.
+    """
+    counts = materialize(count_tokens(docs, text), "pst-counts")
+    tree, words = _dictionary(counts, p_head, p_count)
+    encoded = materialize(encode(docs, words, doc_id, text).drop("rare"), "pst-encoded")
+    return Model(tree, words, counts, _learn(encoded, tree, counts, p_head, depth, min_count), p_count)
+
+
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """_id, n_tokens, n_known, base_score and score of every row.
+
+    A position's state is the longest kept context before it. What the broadcast part of the tree
+    does not settle leaves a text as keys, which meet the tables in one join; so do rare words,
+    for their counts. Null and empty texts are one end token; texts are read in whole; repeated
+    rows are scored alike, each for itself; an empty table gives no rows.
+    """
+    encoded = materialize(encode(docs, model.words, doc_id, text), "pst-encoded")
+    return _score(encoded, model.tree, model.fixes, model.counts, model.p_count)
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    """The contract's scores of the whole table documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tree, counts = learn(docs.where(~held_out(F.col("doc_id"))))
-    out = score(docs, tree, counts)
+    """The contract's scores of the whole table documents, encoded once for learning and scoring."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id")).alias("held"))
+    counts = materialize(count_tokens(docs.where(~F.col("held")), "text"), "pst-counts")
+    tree, words = _dictionary(counts, P_HEAD, P_COUNT)
+    encoded = materialize(encode(docs, words, "doc_id", "text", ("held",)), "pst-encoded")
+    fixes = _learn(encoded.where(~F.col("held")), tree, counts, P_HEAD, DEPTH, MIN_COUNT)
+    out = _score(encoded, tree, fixes, counts, P_COUNT)
     return out.select(F.col("_id").alias("doc_id"), held_out(F.col("_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
