@@ -45,7 +45,7 @@ def test_base_scores(spark, sf):
         assert sum(r[6] for r in got if r[1]) > sum(r[5] for r in got if r[1])
 
 
-def brute_model(texts, p_head, depth, least=2):
+def brute_model(texts, p_head, depth, least=3):
     """Probability of a word after the words before it, from dictionaries alone."""
     docs = [toks(t) for t in texts]
     c = Counter(w for d in docs for w in d)
@@ -125,6 +125,14 @@ def test_scores_are_those_of_the_brute_model(spark, walks, p_head, p_count, dept
         assert abs(sum(p(x, w) for w in c) + p(x, "unseen") - 1) < 1e-9
 
 
+def test_keys_are_those_of_the_expression(spark):
+    x = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 200)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x[::2], x[1::2])], "a long, s long")
+    got = df.selectExpr("xxhash64(a, s)", "xxhash64(a)").collect()
+    assert [r[0] for r in got] == pst._pairs(x[::2].copy(), x[1::2].copy()).tolist() and [r[1] for r in got] == pst._mix(x[::2].copy()).view(np.int64).tolist()
+    assert (pst._unpacked(pst._packed(x)) == x).all()
+
+
 def test_contexts_grow_with_the_input(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
     some = pst.learn(docs.where("doc_id % 4 = 0")).fixes.count()

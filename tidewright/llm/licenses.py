@@ -61,7 +61,7 @@ def _units(body: Column) -> Column:
     def of(t: Column) -> Column:
         as_unit = lambda rank: lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("unit"))
         whole = F.filter(F.array(t), lambda x: F.size(F.split(x, "\\s+")) <= SHORT_FILE)
-        blocks = F.filter(F.split(t, _GAP, -1), named)
+        blocks = let(F.split(t, _GAP, -1), lambda b: F.when(F.size(b) > 1, F.filter(b, named)).otherwise(F.slice(b, 1, F.when(F.size(whole) > 0, 0).otherwise(1))))
         lines = F.filter(F.split(t, "\n", -1), named)
         return F.concat(F.transform(whole, as_unit(2)), F.transform(blocks, as_unit(1)), F.transform(lines, as_unit(0)))
 
@@ -99,18 +99,20 @@ def scan(docs: DataFrame, key: list[str], text: str = "text", templates=TEMPLATE
         norm = math.sqrt(sum((tf * idf[w]) ** 2 for w, tf in bag.items()))
         rows += [F.struct(F.lit(tid).alias("tid"), F.lit(name).alias("license"), F.lit(w).alias("term"), F.lit(tf * idf[w] / norm).alias("tw")) for w, tf in bag.items()]
     known = spark.range(1).select(F.inline(F.array(*rows)))
-    # Distinct units are few against rows, as headers repeat: each is compared once.
-    named = materialize(docs.select(*key, F.inline(_units(body))).distinct(), "license-units")
-    unit = named.select("unit").distinct()
-    vector = unit.select("unit", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    # Distinct units are few against rows, as headers repeat: each is compared once, under a digest.
+    # A unit's terms stay where the unit is, so no text and no term is shuffled with it again.
+    named = materialize(docs.select(*key, F.inline(_units(body))).withColumn("u", F.md5(F.col("unit").cast("binary"))), "license-units")
+    unit = named.groupBy("u").agg(F.first("unit").alias("unit"))
+    vector = unit.select("u", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("u", "term").agg(F.count("*").alias("tf"))
     vector = vector.withColumn("w", F.col("tf") * F.coalesce(F.try_element_at(weigh, F.col("term")), F.lit(other)))
-    length = vector.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    close = vector.join(F.broadcast(known), "term").groupBy("unit", "tid", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    vector = materialize(vector.select("u", "term", "w"), "license-vectors")
+    length = vector.groupBy("u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    close = vector.join(F.broadcast(known), "term").groupBy("u", "tid", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm"), 9)
-    best = close.join(length, "unit").withColumn("cosine", cosine).where(F.col("cosine") >= min_cosine)
+    best = close.join(length, "u").withColumn("cosine", cosine).where(F.col("cosine") >= min_cosine)
     place = F.struct((~F.col("license").isin(*WEAK)).alias("strong"), "cosine", (-F.col("tid")).alias("t"), "license")
-    best = best.groupBy("unit").agg(F.max(place).alias("b")).select("unit", "b.*")
-    out = named.join(best, "unit").groupBy(*key).agg(F.max(F.struct("strong", "rank", "cosine", "t", "license")).alias("b"))
+    best = best.groupBy("u").agg(F.max(place).alias("b")).select("u", "b.*")
+    out = named.select(*key, "rank", "u").distinct().join(best, "u").groupBy(*key).agg(F.max(F.struct("strong", "rank", "cosine", "t", "license")).alias("b"))
     return out.select(*key, "b.license", "b.cosine")
 
 

@@ -18,8 +18,10 @@ from .common import bit_filter, in_arrow, materialize, table
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b""  # the token after a text's words; no word is empty
 
-#: Least count of a next word that a context of one word has for its own, at any input size.
-MIN_COUNT = 2
+#: Least count of a word, and of a next word that a context of one word has for its own, at any input size.
+MIN_COUNT = 3
+#: Training tokens of a bucket of word pairs, and the most buckets there are.
+BUCKET_TOKENS, BUCKETS = 4_000_000, 1_000_000
 #: Least share of the training tokens of what is broadcast: words of the alphabet, their contexts
 #: and next words. For contexts of one word it is a cache and changes no result; longer contexts
 #: are those of the alphabet that have this share.
@@ -67,19 +69,37 @@ def name_of(word: bytes) -> int:
     return ~(xxhash.xxh64_intdigest(word, 42) >> 1)
 
 
-def _name(word: Column) -> Column:
-    """The same name as an expression."""
-    return F.bitwise_not(F.shiftrightunsigned(F.xxhash64(word), 1))
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-def _pair(a: Column, s: Column) -> Column:
-    """The key of a context and a next word, from their names."""
-    return a.bitwiseXOR(F.shiftleft(s, 17).bitwiseOR(F.shiftrightunsigned(s, 47)))
+def _mix(x: np.ndarray, seed=np.uint64(42)) -> np.ndarray:
+    """XXH64 of longs, as the expression xxhash64 gives it."""
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    h = (seed + _P5 + np.uint64(8)) ^ (turn(x.view(np.uint64) * _P2, 31) * _P1)
+    h = turn(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
 
 
 def _pairs(a: np.ndarray, s: np.ndarray) -> np.ndarray:
-    u = s.view(np.uint64)
-    return a ^ ((u << np.uint64(17)) | (u >> np.uint64(47))).view(np.int64)
+    """Keys of contexts and next words: xxhash64(a, s)."""
+    return _mix(s, _mix(a)).view(np.int64)
+
+
+def _passing(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the bits of `bit_filter` let pass."""
+    slot = keys & (len(bits) * 8 - 1)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Longs as bytes, the highest ones of all first: those of small numbers compress away."""
+    return np.ascontiguousarray(x.astype(">i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(">i8").reshape(-1).astype(np.int64)
 
 
 @dataclass
@@ -101,14 +121,12 @@ class Level:
 @dataclass
 class Tree:
     """Words have places by falling count (the end is 0) down to `P_COUNT`; the first `width` are
-    the alphabet. `fixes` is the table (h, delta) of all other contexts of one word and their next
-    words, `passing` the filter of its keys."""
+    the alphabet. `passing` is the filter of the keys of all other contexts and next words."""
 
     width: int
     total: int
     types: int
     counts: np.ndarray
-    hashes: np.ndarray
     base: np.ndarray  # log10 of the level-0 probability of each place
     levels: list[Level] = field(default_factory=list)
     passing: np.ndarray | None = None
@@ -191,37 +209,77 @@ def encode(docs: DataFrame, words: dict[bytes, int], doc_id: str, text: str, ext
     return docs.select(F.col(doc_id).alias("_id"), text, *extra).transform(in_arrow, run, schema)
 
 
-def _count_pairs(encoded: DataFrame, hashes) -> DataFrame:
-    """(a, s, n): the names of each word and its next one, and how often they are."""
+def _count_pairs(encoded: DataFrame, tree_at, known: np.ndarray, total: int, min_count: int) -> DataFrame:
+    """(a, s, n, q): each word and its next one that are together `min_count` times or more, how
+    often they are, and the share of the next word (null for words without a place).
 
-    def run(batches):
-        name, held, size = hashes.value, [], 0
-
-        def merged():
-            a, s, n = (np.concatenate(x) for x in zip(*held))
-            _, at, back = np.unique(_pairs(a, s), return_index=True, return_inverse=True)
-            return a[at], s[at], np.bincount(back, weights=n).astype(np.int64)
+    Most pairs are rare, so they travel packed: a task sorts its pairs and leaves one row a bucket
+    of their keys, and a bucket's rows are merged into its counts. `known` is the filter of rare
+    words that are frequent enough themselves.
+    """
+    buckets = max(8, min(total // BUCKET_TOKENS, BUCKETS))
+    filter_at = encoded.sparkSession.sparkContext.broadcast(known)
+
+    def merged(held):
+        a, s, n = (np.concatenate(x) for x in zip(*held))
+        _, at, back = np.unique(_pairs(a, s), return_index=True, return_inverse=True)
+        return a[at], s[at], np.bincount(back, weights=n).astype(np.int64)
+
+    def send(batches):
+        bits, held, size = filter_at.value, [], 0
+
+        def out(a, s, n):
+            bucket = (_pairs(a, s).view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)
+            order = np.lexsort((s, a, bucket))
+            a, s, n, bucket = a[order], s[order], n[order], bucket[order]
+            cut = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+            parts = list(zip(cut.tolist(), [*cut[1:].tolist(), len(a)]))
+            cols = [pa.array(bucket[cut].astype(np.int64))] + [pa.array([_packed(x[i:j]) for i, j in parts], pa.binary()) for x in (a, s, n)]
+            return pa.RecordBatch.from_arrays(cols, names=["bucket", "a", "s", "n"])
 
-        out = lambda x: pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=["a", "s", "n"])
         for batch in batches:
             for _, ids, first in _chunks(batch.column(0)):
-                s = np.where(ids >= 0, name[np.maximum(ids, 0)], ids)
+                fine = ids >= 0
+                fine[~fine] = _passing(bits, ids[~fine])
                 a = _before(ids, first)
-                a = np.where(a >= 0, name[np.maximum(a, 0)], a)
+                before = np.concatenate(([True], fine[:-1]))
+                before[first] = True
+                a, s = a[fine & before], ids[fine & before]
                 _, at, n = np.unique(_pairs(a, s), return_index=True, return_counts=True)
                 held.append((a[at], s[at], n))
                 size += len(n)
                 if size > 3_000_000:
-                    done = merged()
+                    done = merged(held)
                     if len(done[0]) > 1_500_000:
-                        yield out(done)
+                        yield out(*done)
                         held, size = [], 0
                     else:
                         held, size = [done], len(done[0])
+        if size:
+            yield out(*merged(held))
+
+    def receive(batches):
+        tree, now, held = tree_at.value, None, []
+
+        def out():
+            a, s, n = merged(held)
+            some = n >= min_count
+            a, s, n = a[some], s[some], n[some]
+            q = pa.array(np.where(s >= 0, 10.0 ** tree.base[np.maximum(s, 0)], 0.0), mask=s < 0)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(n), q], names=["a", "s", "n", "q"])
+
+        for batch in batches:
+            for bucket, *packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "a", "s", "n"))):
+                if bucket != now and held:
+                    yield out()
+                    held = []
+                now = bucket
+                held.append([_unpacked(x) for x in packed])
         if held:
-            yield out(merged())
+            yield out()
 
-    return encoded.select("ids").transform(in_arrow, run, "a long, s long, n long").groupBy("a", "s").agg(F.sum("n").alias("n"))
+    sent = encoded.select("ids").transform(in_arrow, send, "bucket long, a binary, s binary, n binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").transform(in_arrow, receive, "a long, s long, n long, q double")
 
 
 def _count_level(encoded: DataFrame, tree_at) -> DataFrame:
@@ -287,18 +345,16 @@ def _deeper(tree: Tree, context: np.ndarray, symbol: np.ndarray) -> bool:
     return True
 
 
-def _first_level(tree: Tree, pairs: DataFrame, counts: DataFrame, price: float, least: float) -> DataFrame:
+def _first_level(tree: Tree, pairs: DataFrame, named: DataFrame, price: float, least: float) -> DataFrame:
     """Contexts of one word, of all words: kept ones and their next words as (h, delta).
 
-    h is the key of a context and a next word, or the name of a context that is not in the
-    alphabet; delta is what the longest suffix's log10 probability changes by there: the weight of
+    h is the key of a context and a next word, or of a context alone that is not in the alphabet; delta is what the longest suffix's log10 probability changes by there: the weight of
     the unlisted words for a context, and on top of it the word's own probability. Frequent
     contexts and next words become the first level of the broadcast tree instead.
     """
-    n_all = float(tree.total + tree.types + 1)
-    named = counts.select(_name(F.col("word")).alias("id"), "c")
-    q = (F.col("c") + 1.0) / n_all
-    rows = materialize(pairs.join(named.withColumnRenamed("id", "s"), "s").select("a", "s", "n", q.alias("q")), "pst-next")
+    share = (F.col("c") + 1.0) / float(tree.total + tree.types + 1)
+    rare = named.withColumnRenamed("id", "s").where("s < 0")
+    rows = pairs.where("s >= 0").union(pairs.where("s < 0").drop("q").join(rare, "s").select("a", "s", "n", share.alias("q")))
     sums = rows.groupBy("a").agg(F.sum("n").alias("sn"), F.sum("q").alias("sq"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("t"), F.count("*").alias("m"))
     held = sums.join(named.withColumnRenamed("id", "a"), "a")
     c = F.col("c")
@@ -307,18 +363,16 @@ def _first_level(tree: Tree, pairs: DataFrame, counts: DataFrame, price: float,
     back = F.log10(F.greatest((c - F.col("sn") + DISCOUNT * F.col("m")) / c, F.lit(1e-12)) / rq)
     kept = materialize(held.where(c * divergence >= price * (F.col("m") + 1)).select("a", "c", back.alias("back")), "pst-contexts")
     listed = rows.join(kept, "a").select("a", "s", "n", F.log10((F.col("n") - DISCOUNT) / c).alias("log"), "q", "back")
-    place = {int(h): i for i, h in enumerate(tree.hashes[: tree.width].tolist())}
     level = Level(np.arange(tree.width), np.arange(tree.width), [(s,) for s in range(tree.width)], np.zeros(tree.width, bool), np.zeros(tree.width))
     level.index = {(s,): s for s in range(tree.width)}
-    common = (c >= least) | (F.col("a") == name_of(END))
-    for x in kept.where(common).collect():  # at most 1 / P_HEAD rows and the end
-        if x.a in place:
-            level.kept[place[x.a]], level.back[place[x.a]] = True, x.back
-    head = sorted((place[x.a] * tree.width + place[x.s], x.log) for x in listed.where(F.col("n") >= least).select("a", "s", "log").collect() if x.a in place and x.s in place)  # as many
+    common = F.col("a").between(0, tree.width - 1)
+    for x in kept.where(common).collect():  # at most 1 / P_HEAD rows
+        level.kept[x.a], level.back[x.a] = True, x.back
+    head = sorted((x.a * tree.width + x.s, x.log) for x in listed.where(F.col("n") >= least).select("a", "s", "log").collect())  # as many
     level.codes, level.logs = np.array([x[0] for x in head], np.int64), np.array([x[1] for x in head], np.float64)
     tree.levels.append(level)
-    entries = listed.where(F.col("n") < least).select(_pair(F.col("a"), F.col("s")).alias("h"), (F.col("log") - F.log10("q") - F.col("back")).alias("delta"))
-    outside = kept.where(~common).select(F.col("a").alias("h"), F.col("back").alias("delta"))
+    entries = listed.where(F.col("n") < least).select(F.xxhash64("a", "s").alias("h"), (F.col("log") - F.log10("q") - F.col("back")).alias("delta"))
+    outside = kept.where(~common).select(F.xxhash64("a").alias("h"), F.col("back").alias("delta"))
     fixes = materialize(entries.union(outside), "pst-fixes")
     tree.passing = bit_filter(fixes, "h")
     return fixes
@@ -326,25 +380,35 @@ def _first_level(tree: Tree, pairs: DataFrame, counts: DataFrame, price: float,
 
 def _dictionary(counts: DataFrame, p_head: float, p_count: float) -> tuple[Tree, dict[bytes, int]]:
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = [(bytes(r.word), r.c) for r in counts.where(F.col("c") >= p_count * total).collect()] if total else []  # at most 1 / p_count rows
+    frequent = [(bytes(r.word), r.c) for r in counts.where((F.col("c") >= p_count * total) | (F.col("word") == F.lit(END))).collect()] if total else []  # at most 1 / p_count rows
     frequent.sort(key=lambda r: (r[0] != END, -r[1], r[0]))
     if not frequent or frequent[0][0] != END:
         frequent.insert(0, (END, 0))
     known = np.array([c for _, c in frequent], np.float64)
     width = 1 + int(np.sum(known[1:] >= max(p_head * total, MIN_COUNT)))
-    tree = Tree(width, int(total), int(types), known, np.array([name_of(w) for w, _ in frequent], np.int64), np.log10((known + 1.0) / (total + types + 1.0)))
+    tree = Tree(width, int(total), int(types), known, np.log10((known + 1.0) / (total + types + 1.0)))
     return tree, {w: i for i, (w, _) in enumerate(frequent)}
 
 
-def _learn(encoded: DataFrame, tree: Tree, counts: DataFrame, p_head: float, depth: int, min_count: int) -> DataFrame:
+def _learn(encoded: DataFrame, tree: Tree, words: dict[bytes, int], counts: DataFrame, p_head: float, depth: int, min_count: int) -> DataFrame:
     """Grow the tree from encoded texts; the table of the contexts that are not broadcast."""
     sc = encoded.sparkSession.sparkContext
     least = max(p_head * tree.total, min_count)
     price = 0.5 * math.log(max(tree.total, 2))
-    pairs = materialize(_count_pairs(encoded, sc.broadcast(tree.hashes)).where(F.col("n") >= min_count), "pst-pairs")
-    fixes = _first_level(tree, pairs, counts, price, least)
-    place = {int(h): i for i, h in enumerate(tree.hashes[: tree.width].tolist())}
-    often = [(place[r.a], place[r.s]) for r in pairs.where(F.col("n") >= least).select("a", "s").collect() if r.a in place and r.s in place]  # at most 1 / p_head rows
+    words_at = sc.broadcast(words)
+
+    def ids(batches):
+        get = words_at.value.get
+        for batch in batches:
+            w = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(x) if (i := get(x)) is None else i for x in w], pa.int64()), batch.column(1)], names=["id", "c"])
+
+    enough = F.col("c") >= min_count
+    named = materialize(counts.where(enough | (F.col("word") == F.lit(END))).transform(in_arrow, ids, "id long, c long"), "pst-named")
+    known = bit_filter(named.where("id < 0"), "id")
+    pairs = materialize(_count_pairs(encoded, sc.broadcast(tree), known, tree.total, min_count), "pst-pairs")
+    fixes = _first_level(tree, pairs, named, price, least)
+    often = [(r.a, r.s) for r in pairs.where(F.col("n") >= least).select("a", "s").collect() if 0 <= r.a < tree.width and 0 <= r.s < tree.width]  # at most 1 / p_head rows
     often.sort()
     context, symbol = np.array([x[0] for x in often], np.int64), np.array([x[1] for x in often], np.int64)
     n = tree.width
@@ -393,13 +457,7 @@ def _score(encoded: DataFrame, tree: Tree, fixes: DataFrame, counts: DataFrame,
     def run(batches):
         tree = shipped.value
         bits, width = tree.passing, tree.width
-        mask = len(bits) * 8 - 1
         first_level, deeper = tree.levels[0], tree.levels[1:]
-
-        def passing(h):
-            slot = h & mask
-            return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-
         for batch in batches:
             for begin, ids, first in _chunks(batch.column("ids")):
                 frequent = ids >= 0
@@ -422,12 +480,12 @@ def _score(encoded: DataFrame, tree: Tree, fixes: DataFrame, counts: DataFrame,
                     logs[ok] = np.where(there, level.logs[where], logs[ok] + level.back[context[ok]])
                     listed[ok] |= there
                 # What is not settled by the broadcast tree meets the table by its keys.
-                name = lambda x: np.where(x >= 0, tree.hashes[np.maximum(x, 0)], x)
                 open_ = np.flatnonzero(~listed & (kept | ~inside))
-                a = name(_before(ids, first)[open_])
-                h = _pairs(a, name(ids[open_]))
-                pair, alone = passing(h), ~inside[open_]
-                alone[alone] = passing(a[alone])
+                a = _before(ids, first)[open_]
+                h = _pairs(a, ids[open_])
+                pair, alone = _passing(bits, h), ~inside[open_]
+                a = _mix(a).view(np.int64)
+                alone[alone] = _passing(bits, a[alone])
                 keys, owner = np.concatenate((h[pair], a[alone])), np.concatenate((open_[pair], open_[alone]))
                 text = np.searchsorted(first, owner, side="right") - 1
                 order = np.argsort(text, kind="stable")
@@ -478,7 +536,7 @@ def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p_head: f
     counts = materialize(count_tokens(docs, text), "pst-counts")
     tree, words = _dictionary(counts, p_head, p_count)
     encoded = materialize(encode(docs, words, doc_id, text).drop("rare"), "pst-encoded")
-    return Model(tree, words, counts, _learn(encoded, tree, counts, p_head, depth, min_count), p_count)
+    return Model(tree, words, counts, _learn(encoded, tree, words, counts, p_head, depth, min_count), p_count)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -499,6 +557,6 @@ def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
     counts = materialize(count_tokens(docs.where(~F.col("held")), "text"), "pst-counts")
     tree, words = _dictionary(counts, P_HEAD, P_COUNT)
     encoded = materialize(encode(docs, words, "doc_id", "text", ("held",)), "pst-encoded")
-    fixes = _learn(encoded.where(~F.col("held")), tree, counts, P_HEAD, DEPTH, MIN_COUNT)
+    fixes = _learn(encoded.where(~F.col("held")), tree, words, counts, P_HEAD, DEPTH, MIN_COUNT)
     out = _score(encoded, tree, fixes, counts, P_COUNT)
     return out.select(F.col("_id").alias("doc_id"), held_out(F.col("_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
