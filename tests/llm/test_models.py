@@ -52,7 +52,7 @@ def brute_model(texts, p_head, depth, least=3):
     n, v = sum(c.values()), len(c)
     q = lambda w: (c[w] + 1) / (n + v + 1)
     head = max(p_head * n, least)
-    alphabet = {w for w in c if c[w] >= head} | {""}
+    alphabet = {w for w in c if c[w] >= p_head * n} | {""}
     after = [None, *(Counter() for _ in range(depth))]  # (context, next word) by the context's length
     for d in docs:
         line = ["", *d]
@@ -108,12 +108,12 @@ def walks():
     return texts
 
 
-@pytest.mark.parametrize("p_head, p_count, depth", [(0.01, 0.01, 3), (0.01, 0.0005, 3), (0.001, 0.0005, 2), (0.5, 0.5, 1)])
-def test_scores_are_those_of_the_brute_model(spark, walks, p_head, p_count, depth):
+@pytest.mark.parametrize("p_head, depth", [(0.01, 3), (0.001, 3), (0.003, 2), (0.5, 1)])
+def test_scores_are_those_of_the_brute_model(spark, walks, p_head, depth):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(walks)], "doc_id long, text string")
     new = [*walks[:5], "a b unknown c r1 s1 a", "", "r5 s0 r5 s0 a b c a b c", None]
     more = spark.createDataFrame(list(enumerate(new)), "doc_id long, text string")
-    got = {r["_id"]: r for r in pst.score(more, pst.learn(docs, p_head=p_head, p_count=p_count, depth=depth)).collect()}
+    got = {r["_id"]: r for r in pst.score(more, pst.learn(docs, p_head=p_head, depth=depth, min_count=3)).collect()}
     p, kept, c = brute_model(walks, p_head, depth)
     assert any(len(x) == 1 and x[0].startswith("r") for x in kept) or p_head == 0.5
     assert depth == 1 or any(len(x) == 2 for x in kept)
@@ -135,8 +135,8 @@ def test_keys_are_those_of_the_expression(spark):
 
 def test_contexts_grow_with_the_input(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
-    some = pst.learn(docs.where("doc_id % 4 = 0")).fixes.count()
-    assert pst.learn(docs).fixes.count() > 2 * some > 0
+    some, whole = (pst.learn(d, p_head=1e-3, min_count=3).fixes.where("known = 0").count() for d in (docs.where("doc_id % 4 = 0"), docs))
+    assert whole > 2 * some > 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>

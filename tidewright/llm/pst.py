@@ -18,16 +18,15 @@ from .common import bit_filter, in_arrow, materialize, table
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b""  # the token after a text's words; no word is empty
 
-#: Least count of a word, and of a next word that a context of one word has for its own, at any input size.
-MIN_COUNT = 3
+#: Least count of a next word that a context has for its own, and so of both words, at any input
+#: size: the tables of contexts grow with the input.
+MIN_COUNT = 30
 #: Training tokens of a bucket of word pairs, and the most buckets there are.
 BUCKET_TOKENS, BUCKETS = 4_000_000, 1_000_000
-#: Least share of the training tokens of what is broadcast: words of the alphabet, their contexts
-#: and next words. For contexts of one word it is a cache and changes no result; longer contexts
-#: are those of the alphabet that have this share.
-P_HEAD = 1e-5
-#: Least share of a word whose number and count are broadcast; counts of rarer words come by a join.
-P_COUNT = 1e-6
+#: Least share of the training tokens of what is broadcast: words, which make the alphabet, and
+#: next words in their contexts. For words and contexts of one word it is a cache and changes no
+#: result; contexts of more words have this share, or `MIN_COUNT` if that is more.
+P_HEAD = 1e-6
 DEPTH = 3
 DISCOUNT = 0.5
 END_PLACE = 0
@@ -120,8 +119,7 @@ class Level:
 
 @dataclass
 class Tree:
-    """Words have places by falling count (the end is 0) down to `P_COUNT`; the first `width` are
-    the alphabet. `passing` is the filter of the keys of all other contexts and next words."""
+    """The `width` words of the alphabet have places by falling count (the end is 0). `passing` is the filter of the keys of all other contexts and next words."""
 
     width: int
     total: int
@@ -183,29 +181,24 @@ def _chunks(column, words: int = 500_000):
 
 
 def encode(docs: DataFrame, words: dict[bytes, int], doc_id: str, text: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """row, _id, ids (little-endian longs: a word's place, or its name if it has none) and rare
-    (words without a place, with their number) of every text: the one pass that reads words."""
+    """row, _id and ids (packed longs: a word's place, or its name if it has none) of every text:
+    the one pass that reads words."""
     shipped = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         get, task, row = shipped.value.get, TaskContext.get().partitionId() << 36, 0
+        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            ids, rare = [], []
+            ids = []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
                 w = tokens(t)
-                place = np.fromiter((get(x, -1) for x in w), "<i8", len(w))
-                out = np.flatnonzero(place < 0).tolist()
-                new = Counter(w[i] for i in out)
-                named = {x: name_of(x) for x in new}
-                place[out] = [named[w[i]] for i in out]
-                ids.append(place.tobytes())
-                rare.append([{"w": k, "n": v} for k, v in new.items()] or None)
-            cols = [pa.array(np.arange(len(ids), dtype=np.int64) + row + task), batch.column(0), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[2:]], names=["row", "_id", "ids", "rare", *extra])
+                ids.append(np.fromiter([~(digest(x, 42) >> 1) if (i := get(x)) is None else i for x in w], "<i8", len(w)).tobytes())
+            cols = [pa.array(np.arange(len(ids), dtype=np.int64) + row + task), batch.column(0), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[2:]], names=["row", "_id", "ids", *extra])
             row += len(ids)
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"row long, _id {kinds[doc_id]}, ids binary, rare array<struct<w:binary,n:bigint>>", *[f"{c} {kinds[c]}" for c in extra]])
+    schema = ", ".join([f"row long, _id {kinds[doc_id]}, ids binary", *[f"{c} {kinds[c]}" for c in extra]])
     return docs.select(F.col(doc_id).alias("_id"), text, *extra).transform(in_arrow, run, schema)
 
 
@@ -282,11 +275,13 @@ def _count_pairs(encoded: DataFrame, tree_at, known: np.ndarray, total: int, min
     return sent.repartition("bucket").sortWithinPartitions("bucket").transform(in_arrow, receive, "a long, s long, n long, q double")
 
 
-def _count_level(encoded: DataFrame, tree_at) -> DataFrame:
-    """(code, n): next words of the deepest level's contexts, and code width for the context's total."""
+def _count_level(encoded: DataFrame, tree_at, often_at) -> DataFrame:
+    """(code, n): next words of the deepest level's contexts, and code width for the context's
+    total. A next word is only counted where it is frequent after the context's longest suffix
+    (`often`: its codes), as it cannot be more frequent after the context itself."""
 
     def run(batches):
-        tree = tree_at.value
+        tree, often = tree_at.value, often_at.value
         width = tree.width + 1
         codes, counts, held = [], [], 0
 
@@ -296,12 +291,14 @@ def _count_level(encoded: DataFrame, tree_at) -> DataFrame:
 
         for batch in batches:
             for _, ids, first in _chunks(batch.column(0)):
-                symbols = np.where((ids >= 0) & (ids < tree.width), ids, -1)
-                for context in contexts(tree, symbols, first):
-                    pass
+                symbols = np.maximum(ids, -1)
+                context = None
+                for deeper in contexts(tree, symbols, first):
+                    suffix, context = context, deeper
                 ok = np.flatnonzero(context >= 0)
                 c, s = context[ok] * width, symbols[ok]
-                some, n = np.unique(np.concatenate(((c + s)[s >= 0], c + tree.width)), return_counts=True)
+                _, may = _found(often, np.where(s >= 0, suffix[ok] * tree.width + s, -1))
+                some, n = np.unique(np.concatenate(((c + s)[may], c + tree.width)), return_counts=True)
                 codes.append(some)
                 counts.append(n)
                 held += len(some)
@@ -353,7 +350,7 @@ def _first_level(tree: Tree, pairs: DataFrame, named: DataFrame, price: float, l
     contexts and next words become the first level of the broadcast tree instead.
     """
     share = (F.col("c") + 1.0) / float(tree.total + tree.types + 1)
-    rare = named.withColumnRenamed("id", "s").where("s < 0")
+    rare = named.withColumnRenamed("id", "s").where("s < 0 AND c > 1")
     rows = pairs.where("s >= 0").union(pairs.where("s < 0").drop("q").join(rare, "s").select("a", "s", "n", share.alias("q")))
     sums = rows.groupBy("a").agg(F.sum("n").alias("sn"), F.sum("q").alias("sq"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("t"), F.count("*").alias("m"))
     held = sums.join(named.withColumnRenamed("id", "a"), "a")
@@ -371,22 +368,24 @@ def _first_level(tree: Tree, pairs: DataFrame, named: DataFrame, price: float, l
     head = sorted((x.a * tree.width + x.s, x.log) for x in listed.where(F.col("n") >= least).select("a", "s", "log").collect())  # as many
     level.codes, level.logs = np.array([x[0] for x in head], np.int64), np.array([x[1] for x in head], np.float64)
     tree.levels.append(level)
-    entries = listed.where(F.col("n") < least).select(F.xxhash64("a", "s").alias("h"), (F.col("log") - F.log10("q") - F.col("back")).alias("delta"))
-    outside = kept.where(~common).select(F.xxhash64("a").alias("h"), F.col("back").alias("delta"))
-    fixes = materialize(entries.union(outside), "pst-fixes")
+    none = [F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base")]
+    entries = listed.where(F.col("n") < least).select(F.xxhash64("a", "s").alias("h"), *none, (F.col("log") - F.log10("q") - F.col("back")).alias("logs"))
+    outside = kept.where(~common).select(F.xxhash64("a").alias("h"), *none, F.col("back").alias("logs"))
+    more = F.log10(F.col("c") + 1.0)
+    known = named.where("id < 0").select(F.col("id").alias("h"), F.lit(1).cast("long").alias("known"), more.alias("base"), more.alias("logs"))
+    fixes = materialize(entries.union(outside).union(known), "pst-fixes")
     tree.passing = bit_filter(fixes, "h")
     return fixes
 
 
-def _dictionary(counts: DataFrame, p_head: float, p_count: float) -> tuple[Tree, dict[bytes, int]]:
+def _dictionary(counts: DataFrame, p_head: float) -> tuple[Tree, dict[bytes, int]]:
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = [(bytes(r.word), r.c) for r in counts.where((F.col("c") >= p_count * total) | (F.col("word") == F.lit(END))).collect()] if total else []  # at most 1 / p_count rows
+    often = (F.col("c") >= p_head * total) | (F.col("word") == F.lit(END))
+    frequent = [(bytes(r.word), r.c) for r in counts.where(often).collect()]  # at most 1 / p_head rows and the end
     frequent.sort(key=lambda r: (r[0] != END, -r[1], r[0]))
-    if not frequent or frequent[0][0] != END:
-        frequent.insert(0, (END, 0))
+    frequent = frequent or [(END, 0)]
     known = np.array([c for _, c in frequent], np.float64)
-    width = 1 + int(np.sum(known[1:] >= max(p_head * total, MIN_COUNT)))
-    tree = Tree(width, int(total), int(types), known, np.log10((known + 1.0) / (total + types + 1.0)))
+    tree = Tree(len(frequent), int(total), int(types), known, np.log10((known + 1.0) / (total + types + 1.0)))
     return tree, {w: i for i, (w, _) in enumerate(frequent)}
 
 
@@ -403,9 +402,8 @@ def _learn(encoded: DataFrame, tree: Tree, words: dict[bytes, int], counts: Data
             w = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([name_of(x) if (i := get(x)) is None else i for x in w], pa.int64()), batch.column(1)], names=["id", "c"])
 
-    enough = F.col("c") >= min_count
-    named = materialize(counts.where(enough | (F.col("word") == F.lit(END))).transform(in_arrow, ids, "id long, c long"), "pst-named")
-    known = bit_filter(named.where("id < 0"), "id")
+    named = materialize(counts.transform(in_arrow, ids, "id long, c long"), "pst-named")
+    known = bit_filter(named.where(F.col("id") < 0).where(F.col("c") >= min_count), "id")
     pairs = materialize(_count_pairs(encoded, sc.broadcast(tree), known, tree.total, min_count), "pst-pairs")
     fixes = _first_level(tree, pairs, named, price, least)
     often = [(r.a, r.s) for r in pairs.where(F.col("n") >= least).select("a", "s").collect() if 0 <= r.a < tree.width and 0 <= r.s < tree.width]  # at most 1 / p_head rows
@@ -413,11 +411,12 @@ def _learn(encoded: DataFrame, tree: Tree, words: dict[bytes, int], counts: Data
     context, symbol = np.array([x[0] for x in often], np.int64), np.array([x[1] for x in often], np.int64)
     n = tree.width
     for _ in range(2, depth + 1):
+        codes = np.unique(context * n + symbol)
         if not _deeper(tree, context, symbol):
             break
         level = tree.levels[-1]
         shipped = sc.broadcast(tree)
-        found = _count_level(encoded, shipped)
+        found = _count_level(encoded, shipped, sc.broadcast(codes))
         is_total = F.col("code") % (n + 1) == n
         rows = found.where(is_total | (F.col("n") >= least)).collect()  # at most 2 / p_head rows
         shipped.unpersist()
@@ -451,7 +450,7 @@ def _learn(encoded: DataFrame, tree: Tree, words: dict[bytes, int], counts: Data
     return fixes
 
 
-def _score(encoded: DataFrame, tree: Tree, fixes: DataFrame, counts: DataFrame, p_count: float) -> DataFrame:
+def _score(encoded: DataFrame, tree: Tree, fixes: DataFrame) -> DataFrame:
     shipped = encoded.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):
@@ -461,8 +460,8 @@ def _score(encoded: DataFrame, tree: Tree, fixes: DataFrame, counts: DataFrame,
         for batch in batches:
             for begin, ids, first in _chunks(batch.column("ids")):
                 frequent = ids >= 0
-                symbols = np.where(frequent & (ids < width), ids, -1)
-                base = np.where(frequent, tree.base[np.maximum(ids, 0)], 0.0)
+                symbols = np.maximum(ids, -1)
+                base = np.where(frequent, tree.base[np.maximum(ids, 0)], -math.log10(tree.total + tree.types + 1.0))
                 each = contexts(tree, symbols, first)
                 context = next(each)
                 inside = context >= 0
@@ -486,7 +485,9 @@ def _score(encoded: DataFrame, tree: Tree, fixes: DataFrame, counts: DataFrame,
                 pair, alone = _passing(bits, h), ~inside[open_]
                 a = _mix(a).view(np.int64)
                 alone[alone] = _passing(bits, a[alone])
-                keys, owner = np.concatenate((h[pair], a[alone])), np.concatenate((open_[pair], open_[alone]))
+                rare = np.flatnonzero(~frequent)
+                rare = rare[_passing(bits, ids[rare])]
+                keys, owner = np.concatenate((h[pair], a[alone], ids[rare])), np.concatenate((open_[pair], open_[alone], rare))
                 text = np.searchsorted(first, owner, side="right") - 1
                 order = np.argsort(text, kind="stable")
                 ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(first)))))
@@ -498,30 +499,22 @@ def _score(encoded: DataFrame, tree: Tree, fixes: DataFrame, counts: DataFrame,
 
     kind = dict(encoded.dtypes)["_id"]
     seen = materialize(encoded.select("row", "_id", "ids").transform(in_arrow, run, f"row long, _id {kind}, n_tokens long, known long, base double, logs double, keys array<long>"), "pst-scored")
-    zero = F.lit(0).cast("long")
-    found = seen.select("row", F.explode("keys").alias("h")).join(fixes, "h").select("row", zero.alias("known"), F.lit(0.0).alias("base"), F.col("delta").alias("logs"))
-    few = counts.where(F.col("c") < p_count * tree.total)
-    c = F.coalesce("c", zero)
-    rare = encoded.select("row", F.explode("rare").alias("x")).select("row", F.col("x.w").alias("word"), F.col("x.n").alias("k")).join(few, "word", "left")
-    log = F.col("k") * F.log10((c + 1.0) / F.lit(float(tree.total + tree.types + 1)))
-    rare = rare.select("row", F.when(c > 0, F.col("k")).otherwise(zero).alias("known"), log.alias("base"), log.alias("logs"))
-    more = found.union(rare).groupBy("row").agg(*[F.sum(x).alias(f"more_{x}") for x in ("known", "base", "logs")])
+    found = seen.select("row", F.explode("keys").alias("h")).join(fixes, "h")
+    more = found.groupBy("row").agg(*[F.sum(x).alias(f"more_{x}") for x in ("known", "base", "logs")])
     total = lambda x: (F.col(x) + F.coalesce(f"more_{x}", F.lit(0).cast(dict(seen.dtypes)[x])))
     return seen.drop("keys").join(more, "row", "left").select("_id", "n_tokens", total("known").alias("n_known"), total("base").alias("base_score"), total("logs").alias("score"))
 
 
 @dataclass
 class Model:
-    """A tree, its dictionary, and the tables of counts and of contexts that are not broadcast."""
+    """A tree, its dictionary, and the table of the words and contexts that are not broadcast."""
 
     tree: Tree
     words: dict[bytes, int]
-    counts: DataFrame
     fixes: DataFrame
-    p_count: float
 
 
-def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p_head: float = P_HEAD, p_count: float = P_COUNT, depth: int = DEPTH, min_count: int = MIN_COUNT) -> Model:
+def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p_head: float = P_HEAD, depth: int = DEPTH, min_count: int = MIN_COUNT) -> Model:
     """The suffix tree of the documents' words.
 
     Every word is a context, and has the next words that follow it `min_count` times or more for
@@ -534,29 +527,29 @@ def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p_head: f
     table gives a model that knows nothing.
     """
     counts = materialize(count_tokens(docs, text), "pst-counts")
-    tree, words = _dictionary(counts, p_head, p_count)
-    encoded = materialize(encode(docs, words, doc_id, text).drop("rare"), "pst-encoded")
-    return Model(tree, words, counts, _learn(encoded, tree, words, counts, p_head, depth, min_count), p_count)
+    tree, words = _dictionary(counts, p_head)
+    encoded = materialize(encode(docs, words, doc_id, text), "pst-encoded")
+    return Model(tree, words, _learn(encoded, tree, words, counts, p_head, depth, min_count))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """_id, n_tokens, n_known, base_score and score of every row.
 
     A position's state is the longest kept context before it. What the broadcast part of the tree
-    does not settle leaves a text as keys, which meet the tables in one join; so do rare words,
-    for their counts. Null and empty texts are one end token; texts are read in whole; repeated
+    does not settle leaves a text as keys, which meet the table in one join; so do words outside
+    the alphabet, for their counts. Null and empty texts are one end token; texts are read in whole; repeated
     rows are scored alike, each for itself; an empty table gives no rows.
     """
     encoded = materialize(encode(docs, model.words, doc_id, text), "pst-encoded")
-    return _score(encoded, model.tree, model.fixes, model.counts, model.p_count)
+    return _score(encoded, model.tree, model.fixes)
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """The contract's scores of the whole table documents, encoded once for learning and scoring."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id")).alias("held"))
     counts = materialize(count_tokens(docs.where(~F.col("held")), "text"), "pst-counts")
-    tree, words = _dictionary(counts, P_HEAD, P_COUNT)
+    tree, words = _dictionary(counts, P_HEAD)
     encoded = materialize(encode(docs, words, "doc_id", "text", ("held",)), "pst-encoded")
     fixes = _learn(encoded.where(~F.col("held")), tree, words, counts, P_HEAD, DEPTH, MIN_COUNT)
-    out = _score(encoded, tree, fixes, counts, P_COUNT)
+    out = _score(encoded, tree, fixes)
     return out.select(F.col("_id").alias("doc_id"), held_out(F.col("_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
