@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import dates
-from tidewright.operators import detect, forecast, metrics, transforms
+from tidewright.operators import forecast, metrics, transforms
 from tidewright.operators.impute import METHODS, impute
 from tidewright.sources import panel as source
 
@@ -67,59 +67,54 @@ _register(
 
 
 def _wide(spark, sf_dir):
-    return source.wide_from_long(_filled(spark, sf_dir), ["1-URGENT", "2-HIGH"]).select("ds", F.col("1-URGENT").alias("urgent"), F.col("2-HIGH").alias("high"))
+    """A column for each order priority, under names without signs."""
+    wide = source.wide_from_long(_filled(spark, sf_dir))
+    return wide.select("ds", *[F.col(f"`{c}`").alias(_plain(c)) for c in wide.columns if c != "ds"])
 
 
-_register("panel_wide", _wide, f"WITH {FILLED} SELECT ds, {_r(chr(39).join(['MAX(CASE WHEN series_id = ', '1-URGENT', ' THEN y END)']), 'urgent')}, {_r(chr(39).join(['MAX(CASE WHEN series_id = ', '2-HIGH', ' THEN y END)']), 'high')} FROM f GROUP BY ds")
-_register("panel_long", lambda s, d: source.long_from_wide(_wide(s, d), "ds"), f"WITH {FILLED} SELECT CASE series_id WHEN '1-URGENT' THEN 'urgent' ELSE 'high' END AS series_id, ds, {_r('y', 'y')} FROM f WHERE series_id IN ('1-URGENT', '2-HIGH')")
+def _plain(name: str) -> str:
+    return "".join(c for c in name.lower() if c.isalpha() or c == " ").strip().replace(" ", "_")
+
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_WIDE_SQL = ", ".join(_r(f"MAX(CASE WHEN series_id = '{n}' THEN y END)", _plain(n)) for n in _PRIORITIES)
+_LONG_SQL = " ".join(f"WHEN '{n}' THEN '{_plain(n)}'" for n in _PRIORITIES)
+_register("panel_wide", _wide, f"WITH {FILLED} SELECT ds, {_WIDE_SQL} FROM f GROUP BY ds")
+_register("panel_long", lambda s, d: source.long_from_wide(_wide(s, d), "ds"), f"WITH {FILLED} SELECT CASE series_id {_LONG_SQL} END AS series_id, ds, {_r('y', 'y')} FROM f")
 
 _BETWEEN = f"""i AS (SELECT *, ROW_NUMBER() OVER ({_W}) AS i FROM panel), k AS (SELECT *, MAX(CASE WHEN y IS NOT NULL THEN i END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS i0,
 MIN(CASE WHEN y IS NOT NULL THEN i END) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS i1, {_LAST} AS y0, {_NEXT} AS y1 FROM i)"""
+_LINE = "COALESCE(y, y0 + (y1 - y0) * (i - i0) / NULLIF(i1 - i0, 0), y0, y1, 0)"
 _IMPUTE_SQL = {
-    "ffill": f"COALESCE({_LAST}, {_NEXT})",
-    "bfill": f"COALESCE({_NEXT}, {_LAST})",
+    "ffill": f"COALESCE({_LAST}, {_NEXT}, 0)",
+    "previous": f"COALESCE({_LAST}, {_NEXT}, 0)",
+    "bfill": f"COALESCE({_NEXT}, {_LAST}, 0)",
     "zero": "COALESCE(y, 0)",
-    "mean": f"COALESCE(y, AVG(y) {_P})",
-    "median": f"COALESCE(y, MEDIAN(y) {_P})",
-    "ffill_mean_biased": f"COALESCE(y, (COALESCE({_LAST}, {_NEXT}) + AVG(y) {_P}) / 2)",
-    "rolling_mean": f"COALESCE(y, AVG(y) OVER ({_W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), {_LAST}, {_NEXT})",
+    "one": "COALESCE(y, 1)",
+    "mean": f"COALESCE(y, AVG(y) {_P}, 0)",
+    "median": f"COALESCE(y, MEDIAN(y) {_P}, 0)",
+    "ffill_mean_biased": f"COALESCE(y, (COALESCE({_LAST}, {_NEXT}) + AVG(y) {_P}) / 2, 0)",
+    "rolling_mean": f"COALESCE(y, AVG(y) OVER ({_W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), {_LAST}, {_NEXT}, 0)",
+    "rolling_mean_24": f"COALESCE(y, AVG(y) OVER ({_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), {_LAST}, {_NEXT}, 0)",
 }
+_PLACED_SQL = {"interpolate": _LINE, "time": _LINE, "nearest": "COALESCE(y, CASE WHEN i - i0 <= i1 - i THEN y0 ELSE y1 END, y0, y1, 0)"}
 for _m in METHODS:
-    _digits = 6 if _m == "rolling_mean" else 4  # means of eight cents end in a 5 at the fifth place
-    _sql = f"WITH {RAW} SELECT series_id, ds, {_r(_IMPUTE_SQL[_m], 'y', _digits)} FROM panel" if _m in _IMPUTE_SQL else f"WITH {RAW}, {_BETWEEN} SELECT series_id, ds, {_r('COALESCE(y, y0 + (y1 - y0) * (i - i0) / NULLIF(i1 - i0, 0), y0, y1)', 'y')} FROM k"
+    _digits = 6 if _m.startswith("rolling_mean") else 4  # means of eight cents end in a 5 at the fifth place
+    _sql = f"WITH {RAW} SELECT series_id, ds, {_r(_IMPUTE_SQL[_m], 'y', _digits)} FROM panel" if _m in _IMPUTE_SQL else f"WITH {RAW}, {_BETWEEN} SELECT series_id, ds, {_r(_PLACED_SQL[_m], 'y')} FROM k"
     _register(f"impute_{_m}", lambda s, d, m=_m: impute(source.orders_daily(s, d), m), _sql, _digits)
-
-_TRANSFORM_SQL = {
-    "standard": f"(y - AVG(y) {_P}) / STDDEV_POP(y) {_P}",
-    "min_max": f"(y - MIN(y) {_P}) / (MAX(y) {_P} - MIN(y) {_P})",
-    "max_abs": f"y / MAX(ABS(y)) {_P}",
-    "robust": f"(y - MEDIAN(y) {_P}) / (quantile_cont(y, 0.75) {_P} - quantile_cont(y, 0.25) {_P})",
-    "clip_outliers": f"GREATEST(LEAST(y, AVG(y) {_P} + 3 * STDDEV_SAMP(y) {_P}), AVG(y) {_P} - 3 * STDDEV_SAMP(y) {_P})",
-    "difference": f"COALESCE(y - LAG(y) OVER ({_W}), LEAD(y) OVER ({_W}) - y)",
-    "pct_change": f"COALESCE(y / LAG(y) OVER ({_W}) - 1, 0)",
-    "cumsum": f"SUM(y) OVER ({_W} ROWS UNBOUNDED PRECEDING)",
-    "rolling_mean": f"AVG(y) OVER ({_W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)",
-    "log": f"LN(y + GREATEST(0, 1 - MIN(y) {_P}))",
-    "positive_shift": f"y - LEAST(0, MIN(y) {_P}) + 1",
-    "round": "ROUND(y / 1000) * 1000",
-    "center_last": f"y - FIRST_VALUE(y) OVER ({_W} DESC)",
-    "detrend": f"y - (REGR_SLOPE(y, x) {_P} * x + REGR_INTERCEPT(y, x) {_P})",
-    "discretize": f"LEAST(FLOOR((y - MIN(y) {_P}) * 10 / (MAX(y) {_P} - MIN(y) {_P})), 9)",
-    "sine_trend_base": f"SIN(2 * PI() * x / 365.25) * STDDEV_POP(y) {_P} + AVG(y) {_P}",
-}
-for _m in transforms.TRANSFORMS:
-    _register(f"transform_{_m}", lambda s, d, m=_m: transforms.transform(_filled(s, d), m), f"WITH {FILLED}, x AS (SELECT *, CAST(ROW_NUMBER() OVER ({_W}) - 1 AS DOUBLE) AS x FROM f) SELECT series_id, ds, {_r(_TRANSFORM_SQL[_m], 'y')} FROM x")
 _register(
-    "transform_seasonal_difference",
-    lambda s, d: transforms.seasonal_difference(_filled(s, d)),
-    f"WITH {FILLED}, b AS (SELECT *, (ROW_NUMBER() OVER ({_W} DESC) - 1) % 7 AS b FROM f) SELECT series_id, ds, {_r('y - AVG(y) OVER (PARTITION BY series_id, b)', 'y')} FROM b",
+    "impute_fake_date",
+    lambda s, d: impute(source.orders_daily(s, d), "fake date"),
+    f"""WITH {RAW}, b AS (SELECT series_id, ds, y, ROW_NUMBER() OVER ({_W} DESC) AS b FROM panel), v AS (SELECT series_id, ROW_NUMBER() OVER ({_W} DESC) AS b, y FROM panel WHERE y IS NOT NULL),
+m AS (SELECT b.series_id, b.ds, v.y FROM b LEFT JOIN v ON b.series_id = v.series_id AND b.b = v.b) SELECT series_id, ds, {_r(f"COALESCE(y, {_NEXT}, 0)", "y")} FROM m""",
 )
+
 _register("transform_slice", lambda s, d: transforms.slice_tail(_filled(s, d), 100), f"WITH {FILLED} SELECT series_id, ds, {_r('y', 'y')} FROM (SELECT *, ROW_NUMBER() OVER ({_W} DESC) AS rn FROM f) WHERE rn <= 100")
 
 
 def _undo(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    w = transforms.S().orderBy("step")
+    w = Window.partitionBy("series_id").orderBy("step")
     last = train.groupBy("series_id").agg(F.max_by("y", "ds").alias("last"))
     changes = test.join(last, "series_id").select("series_id", "step", (F.col("y") - F.coalesce(F.lag("y").over(w), F.col("last"))).alias("y"))
     return transforms.undo_difference(changes, last)
@@ -166,37 +161,26 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.evaluate(forecast.seasonal_naive(train, HORIZON), test, train))
 
 
+_SAME = "SIGN(fc - last) = SIGN(y - last)"
 _M = {
-    "smape": "200 * SUM(ABS(e) / NULLIF(ABS(fc) + ABS(y), 0)) / COUNT(y)", "mae": "AVG(ABS(e))", "rmse": "SQRT(AVG(e * e))", "made": "AVG(ABS(da - df)) / MAX(scaler)", "mate": "ABS(SUM(e))",
-    "underestimate": "SUM(CASE WHEN e <= 0 THEN e ELSE 0 END)", "overestimate": "SUM(CASE WHEN e > 0 THEN e ELSE 0 END)", "mle": "AVG(CASE WHEN e > 0 THEN LN(1 + ABS(e)) ELSE ABS(e) END)", "imle": "AVG(CASE WHEN e < 0 THEN LN(1 + ABS(e)) ELSE ABS(e) END)",
+    "smape": "200 * SUM(ABS(e) / NULLIF(ABS(fc) + ABS(y), 0)) / COUNT(y)", "mae": "AVG(ABS(e))", "rmse": "SQRT(AVG(e * e))", "made": "AVG(ABS(da - df)) / MAX(scaler)", "mage": "MAX(mage)", "mate": "ABS(SUM(e))",
+    "matse": "ABS(SUM(e)) / SUM(ABS(y))", "underestimate": "SUM(CASE WHEN e <= 0 THEN e ELSE 0 END)", "overestimate": "SUM(CASE WHEN e > 0 THEN e ELSE 0 END)",
+    "mle": "AVG(CASE WHEN e > 0 THEN LN(1 + ABS(e)) ELSE ABS(e) END)", "imle": "AVG(CASE WHEN e < 0 THEN LN(1 + ABS(e)) ELSE ABS(e) END)",
     "spl": "AVG(CASE WHEN y >= u THEN 0.9 * (y - u) ELSE (1 - 0.9) * (u - y) END + CASE WHEN y >= l THEN (1 - 0.9) * (y - l) ELSE 0.9 * (l - y) END) / MAX(scaler)",
-    "containment": "AVG((y BETWEEN l AND u)::INT)", "contour": "AVG(((da >= 0) = (df > 0))::INT)", "maxe": "MAX(ABS(e))", "oda": "AVG((SIGN(fc - last) = SIGN(y - last))::INT)",
-    "ewmae": "AVG(ABS(e) * POW(10, (step - 1) / 27.0))", "wasserstein": "AVG(ABS(cf - ca)) / MAX(scaler)",
+    "containment": "AVG((y BETWEEN l AND u)::INT)", "contour": "AVG(((da >= 0) = (df > 0))::INT)", "maxe": "MAX(ABS(e))", "oda": f"AVG(({_SAME})::INT)",
+    "dwae": f"SQRT(SUM(CASE WHEN {_SAME} THEN ABS(e) ELSE e * e + 1 END) / COUNT(*) / MAX(scaler) + 1)", "mqae": "AVG(ABS(e)) FILTER (rk <= 23)", "ewmae": "AVG(ABS(e) * POW(10, (step - 1) / 27.0))",
+    "uwmse": "AVG(POW(ABS(e) * CASE WHEN step = 1 THEN 5.0 WHEN step = 28 THEN 2.5 ELSE 1.0 END, 2)) / MAX(scaler)", "smoothness": "LN(1 + AVG(ABS(d2)))",
+    "wasserstein": "AVG(ABS(cf - ca)) / MAX(scaler)", "dwd": "AVG(ABS(cdf - cda)) / MAX(scaler)", "custom": "0.0::DOUBLE",
 }
-_register(
-    "flagship_metrics",
-    flagship,
-    f"""WITH {SPLIT}, {_SEASON}, q AS (SELECT series_id, step, lastvalue AS fc FROM p JOIN steps ON (step - 1) % 7 = b), t AS (SELECT series_id, rn, y, ABS(y - LEAD(y) OVER (PARTITION BY series_id ORDER BY rn)) AS d FROM train WHERE rn <= 100),
+_SCALED = f"""t AS (SELECT series_id, rn, y, ABS(y - LEAD(y) OVER (PARTITION BY series_id ORDER BY rn)) AS d FROM train WHERE rn <= 100),
 sc AS (SELECT series_id, AVG(d) AS scaler, ARG_MIN(y, rn) AS last FROM t GROUP BY 1), j AS (SELECT series_id, step, fc, y, fc - lo AS l, fc + up AS u, scaler, last, fc - y AS e FROM q JOIN test USING (series_id, step) JOIN wd USING (series_id) JOIN sc USING (series_id)),
-k AS (SELECT *, y - COALESCE(LAG(y) OVER w, last) AS da, fc - COALESCE(LAG(fc) OVER w, last) AS df, SUM(y) OVER w AS ca, SUM(fc) OVER w AS cf FROM j WINDOW w AS (PARTITION BY series_id ORDER BY step ROWS UNBOUNDED PRECEDING))
-SELECT series_id, {", ".join(_r(v, k) for k, v in _M.items())} FROM k GROUP BY series_id""",
-)
+k0 AS (SELECT *, y - COALESCE(LAG(y) OVER w, last) AS da, fc - COALESCE(LAG(fc) OVER w, last) AS df FROM j WINDOW w AS (PARTITION BY series_id ORDER BY step)),
+k AS (SELECT *, SUM(y) OVER w AS ca, SUM(fc) OVER w AS cf, SUM(ABS(da)) OVER w AS cda, SUM(ABS(df)) OVER w AS cdf, df - LAG(df) OVER (PARTITION BY series_id ORDER BY step) AS d2, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY ABS(e), step) AS rk,
+(SELECT AVG(m) FROM (SELECT ABS(SUM(e)) AS m FROM k0 GROUP BY step)) AS mage FROM k0 WINDOW w AS (PARTITION BY series_id ORDER BY step ROWS UNBOUNDED PRECEDING))"""
+_METRICS_SQL = f"""WITH {SPLIT}, {_SEASON}, q AS (SELECT series_id, step, lastvalue AS fc FROM p JOIN steps ON (step - 1) % 7 = b), {_SCALED}
+SELECT series_id, {", ".join(_r(v, k) for k, v in _M.items())} FROM k GROUP BY series_id"""
+_register("flagship_metrics", flagship, _METRICS_SQL)
 
-_FLAG = "CAST(CASE WHEN {0} THEN -1 ELSE 1 END AS INTEGER) AS anomaly"
-_ANOMALY_SQL = {
-    "zscore": f"SELECT series_id, ds, {_r('s', 'score')}, {_FLAG.format('ABS(s) > 2')} FROM (SELECT *, (y - AVG(y) {_P}) / STDDEV_POP(y) {_P} AS s FROM f)",
-    "rolling_zscore": f"SELECT series_id, ds, {_r('s', 'score')}, {_FLAG.format('ABS(s) > 3')} FROM (SELECT *, (y - AVG(y) OVER w) / NULLIF(STDDEV_SAMP(y) OVER w, 0) AS s FROM f WINDOW w AS ({_W} ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING))",
-    "iqr": f"SELECT series_id, ds, {_r('s', 'score')}, {_FLAG.format('s > 1.5')} FROM (SELECT *, GREATEST(y - quantile_cont(y, 0.75) {_P}, quantile_cont(y, 0.25) {_P} - y, 0) / (quantile_cont(y, 0.75) {_P} - quantile_cont(y, 0.25) {_P}) AS s FROM f)",
-    "mad": f"SELECT series_id, ds, {_r('s', 'score')}, {_FLAG.format('ABS(s) > 3.5')} FROM (SELECT *, 0.6745 * (y - m) / MEDIAN(ABS(y - m)) {_P} AS s FROM (SELECT *, MEDIAN(y) {_P} AS m FROM f))",
-}
-for _m, _sql in _ANOMALY_SQL.items():
-    _register(f"anomaly_{_m}", lambda s, d, m=_m: detect.anomalies(_filled(s, d), m), f"WITH {FILLED} {_sql}")
-_register(
-    "level_shift_differences",
-    lambda s, d: detect.level_differences(_filled(s, d)),
-    f"""WITH {FILLED}, g AS (SELECT *, AVG(y) OVER ({_W} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) - AVG(y) OVER ({_W} ROWS BETWEEN CURRENT ROW AND 27 FOLLOWING) AS g FROM f)
-SELECT series_id, ds, {_r('g', 'diff')}, ABS(g) > 2 * STDDEV_SAMP(g) {_P} AS shift FROM g""",
-)
 _DAYS = "(SELECT DISTINCT CAST(o_orderdate AS DATE) AS ds FROM orders)"
 _days = lambda s, d: source.table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("ds")).distinct()
 _register(
@@ -211,13 +195,16 @@ _register(
 )
 
 
-def queries() -> dict:
-    from tidewright import catalog_more  # noqa: F401  (registers its queries)
+def _others() -> None:
+    """The other catalogues register their queries when they are imported."""
+    from tidewright import catalog_detect, catalog_models, catalog_more, catalog_search, catalog_shape, catalog_transforms  # noqa: F401
 
+
+def queries() -> dict:
+    _others()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewright import catalog_more  # noqa: F401
-
+    _others()
     return dict(SQL)

@@ -57,8 +57,8 @@ _register(
 )
 _register(
     "aggregate_mode",
-    lambda s, d: aggregates.mode(transform(_filled(s, d), "round")),
-    f"{_F}, c AS (SELECT series_id, ROUND(y / 1000) * 1000 AS v, COUNT(*) AS n FROM f GROUP BY 1, 2) SELECT series_id, {_r('v', 'y')} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY n DESC, v) AS r FROM c) WHERE r = 1",
+    lambda s, d: aggregates.mode(transform(_filled(s, d), "round", decimals=-3, on_transform=True)),
+    f"{_F}, c AS (SELECT series_id, round_even(y / 1000, 0) * 1000 AS v, COUNT(*) AS n FROM f GROUP BY 1, 2) SELECT series_id, {_r('v', 'y')} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY n DESC, v) AS r FROM c) WHERE r = 1",
 )
 _register(
     "aggregate_time_weighted_mean",
