@@ -30,7 +30,7 @@ def profile(panel: DataFrame) -> DataFrame:
         F.max("y").alias("max"),
         F.pow(F.stddev_samp("y") / mean, F.lit(2.0)).alias("cv2"),
         F.pow(F.count("y") / F.nullif(F.count_if(F.col("y") != 0), F.lit(0)), F.lit(2.0)).alias("adi2"),
-        F.corr("y", "_p").alias("autocorrelation"),
+        (F.covar_pop("y", "_p") / F.nullif(F.stddev_pop(F.when(F.col("_p").isNotNull(), F.col("y"))) * F.stddev_pop("_p"), F.lit(0.0))).alias("autocorrelation"),
         F.avg((F.col("y") == F.col("_p")).cast("double")).alias("unchanged"),
     )
 

@@ -65,3 +65,40 @@ def backward_splits(panel: DataFrame, horizon: int, n: int) -> DataFrame:
     back = F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("ds").desc()))
     held = panel.withColumn("_v", F.floor((back - 1) / horizon).cast("int")).withColumn("_n", F.count("*").over(Window.partitionBy("series_id")))
     return held.where(F.col("_v") < n).groupBy(F.col("_v").alias("validation"), "series_id").agg((F.first("_n") - (F.first("_v") + 1) * horizon).alias("train_rows"), F.min("ds").alias("test_start"), F.max("ds").alias("test_end"))
+
+
+def weighted(models: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Weighted mean of the models' forecasts; a missing one counts neither above nor below the line."""
+    w = F.lit(0.0)
+    for m, x in weights.items():
+        w = F.when(F.col("model") == m, F.lit(float(x))).otherwise(w)
+    held = models.where("forecast IS NOT NULL").withColumn("_w", w)
+    return held.groupBy("series_id", "step").agg((F.sum(F.col("_w") * F.col("forecast")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("forecast"))
+
+
+def midhinge(models: DataFrame) -> DataFrame:
+    """The mean of the models' quartiles."""
+    q = lambda p: F.percentile("forecast", F.lit(p))
+    return models.groupBy("series_id", "step").agg(((q(0.25) + q(0.75)) / 2).alias("forecast"))
+
+
+def mosaic_smoothed(models: DataFrame, errs: DataFrame, window: int = 3) -> DataFrame:
+    """As `mosaic`, with errors averaged over the steps around before models are compared."""
+    w = Window.partitionBy("series_id", "model").orderBy("step").rowsBetween(-(window // 2), window // 2)
+    each = errs.groupBy("series_id", "model", "step").agg(F.avg("ae").alias("ae")).withColumn("a", F.round(F.avg("ae").over(w), 6))
+    best = each.groupBy("series_id", "step").agg(F.min(F.struct("a", "model")).alias("b")).select("series_id", "step", F.col("b.model").alias("model"))
+    return models.join(best, ["series_id", "step", "model"]).select("series_id", "step", "model", "forecast")
+
+
+def limited(models: DataFrame, errs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Forecasts and errors of the n models that are best over all series; models are few."""
+    mean = errs.groupBy("model", "series_id").agg(F.avg("ae").alias("a")).groupBy("model").agg(F.round(F.avg("a"), 6).alias("a"))
+    keep = F.broadcast(mean.orderBy("a", "model").limit(n).select("model"))
+    return models.join(keep, "model", "left_semi"), errs.join(keep, "model", "left_semi")
+
+
+def unpredictability(errs: DataFrame) -> DataFrame:
+    """series_id, score: how large all models' errors are against the series, from 0 (the least) to 1."""
+    each = errs.groupBy("series_id").agg((F.avg("ae") / F.nullif(F.avg(F.abs("y")), F.lit(0.0))).alias("u")).withColumn("_k", F.lit(1))
+    ends = each.agg(F.min("u").alias("lo"), F.max("u").alias("hi")).withColumn("_k", F.lit(1))
+    return each.join(F.broadcast(ends), "_k").select("series_id", ((F.col("u") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))).alias("score"))

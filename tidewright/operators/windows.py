@@ -59,3 +59,67 @@ def rank_in_history(panel: DataFrame) -> DataFrame:
     held = panel.withColumn("_last", F.max_by("y", "ds").over(S()))
     below, upto, n = F.count_if(F.col("y") < F.col("_last")), F.count_if(F.col("y") <= F.col("_last")), F.count("y")
     return held.groupBy("series_id").agg(((below + upto + (upto > below).cast("int")) * 50.0 / n).alias("rank"))
+
+
+def last_window(panel: DataFrame, size: int = 10) -> DataFrame:
+    """Each series' last `size` values as one array; only these rows are kept before they meet."""
+    held = panel.withColumn("_r", F.row_number().over(S().orderBy(F.col("ds").desc()))).where(F.col("_r") <= size)
+    return held.groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ds", "y"))), lambda x: x["y"]).alias("window"))
+
+
+def make_windows(panel: DataFrame, size: int, horizon: int, stride: int = 1, share: float = 1.0, normalise: bool = False, seed: int = 0) -> DataFrame:
+    """Windows of `size` values (x) from every `stride`-th row and the `horizon` values behind them
+    (target); a share of them by a hash; normalised by a window's least and greatest value."""
+    ahead = F.collect_list("y").over(T().rowsBetween(0, size - 1))
+    after = F.collect_list("y").over(T().rowsBetween(size, size + horizon - 1))
+    held = panel.withColumns({"x": ahead, "target": after, "_i": F.row_number().over(T()) - 1})
+    held = held.where((F.size("x") == size) & (F.size("target") == horizon) & (F.col("_i") % stride == 0))
+    if share < 1:
+        held = held.where(F.pmod(F.xxhash64("series_id", "ds", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20))
+    if normalise:
+        lo, span = F.array_min("x"), F.nullif(F.array_max("x") - F.array_min("x"), F.lit(0.0))
+        scaled = lambda c: F.transform(c, lambda v: F.coalesce((v - lo) / span, F.lit(0.0)))
+        held = held.select("series_id", "ds", scaled("target").alias("target"), scaled("x").alias("x"))
+    return held.select("series_id", "ds", "x", "target")
+
+
+def moving_sum(panel: DataFrame, size: int) -> DataFrame:
+    return panel.withColumn("y", F.sum("y").over(T().rowsBetween(1 - size, 0))).select("series_id", "ds", "y")
+
+
+def forward_mean(panel: DataFrame, size: int) -> DataFrame:
+    """Mean of a row and the `size` - 1 rows ahead."""
+    return panel.withColumn("y", F.avg("y").over(T().rowsBetween(0, size - 1))).select("series_id", "ds", "y")
+
+
+def features(panel: DataFrame, short: int = 7, long: int = 30) -> DataFrame:
+    """`rolling` and more: short less long mean, running energy (in millions), count of values that
+    are not 0, and the correlation with the row before, over the last rows."""
+    w = T().rowsBetween(1 - long, 0)
+    held = rolling(panel, long).join(panel, ["series_id", "ds"]).withColumn("_p", F.lag("y").over(T()))
+    both = F.when(F.col("_p").isNotNull(), F.col("y"))
+    spread = F.nullif(F.stddev_pop(both).over(w) * F.stddev_pop("_p").over(w), F.lit(0.0))
+    corr = F.when(F.row_number().over(T()) > 3, F.covar_pop("y", "_p").over(w) / spread)
+    return held.withColumns(
+        {
+            "macd": F.avg("y").over(T().rowsBetween(1 - short, 0)) - F.avg("y").over(w),
+            "energy": F.sum(F.col("y") * F.col("y") / 1e6).over(T().rowsBetween(Window.unboundedPreceding, 0)),
+            "nonzero": F.count_if(F.col("y") != 0).over(w),
+            "autocorrelation": corr,
+        }
+    ).drop("_p")
+
+
+def melt_intervals(forecast: DataFrame, interval: float) -> DataFrame:
+    """A row a value: the point as 50%, the bounds under their quantile's name."""
+    low, high = (f"{round(100 * p, 6)}%" for p in ((1 - interval) / 2, 1 - (1 - interval) / 2))
+    cells = F.array(*[F.struct(F.lit(n).alias("label"), F.col(c).alias("value")) for n, c in (("50%", "forecast"), (low, "lower"), (high, "upper"))])
+    return forecast.select("series_id", "step", F.explode(cells).alias("x")).select("series_id", "step", "x.*")
+
+
+def sum_components(frames: list[DataFrame]) -> DataFrame:
+    """Aligned component tables (series_id, ds, y) added up."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("series_id", "ds").agg(F.sum("y").alias("y"))
