@@ -144,7 +144,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     `min_words` is the least number of words of a chunk that counts.
     """
     cuts = materialize(find_repeats(docs, text, doc_id, min_words).select(F.col("_id").alias("__tw_i"), F.col("_th").alias("__tw_t"), F.col("cuts").alias("__tw_cuts")), "line-cuts")
-    joined = docs.join(cuts, docs[doc_id].eqNullSafe(cuts["__tw_i"]) & (F.xxhash64(docs[text]) == cuts["__tw_t"]), "left")
+    # A sort-merge join at every size: a broadcast would do for few cuts, but not for many.
+    joined = docs.hint("merge").join(cuts, docs[doc_id].eqNullSafe(cuts["__tw_i"]) & (F.xxhash64(docs[text]) == cuts["__tw_t"]), "left")
     gone = F.flatten(F.transform("__tw_cuts", lambda c: F.sequence(c["lo"], c["hi"] - 1)))
     kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
     left = F.array_join(let(F.split(docs[text], "\n", -1), kept), "\n")
