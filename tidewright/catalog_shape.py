@@ -88,9 +88,9 @@ _register("window_forward_mean", lambda s, d: windows.forward_mean(_filled(s, d)
 _register(
     "window_features",
     lambda s, d: windows.features(_filled(s, d)).select("series_id", "ds", "macd", "energy", "nonzero", "autocorrelation"),
-    f"""{_F}, l AS (SELECT *, LAG(y) OVER ({_W}) AS p, ROW_NUMBER() OVER ({_W}) AS i FROM f) SELECT series_id, ds, {_r(f'AVG(y) OVER ({_W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) - AVG(y) OVER ({_W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)', 'macd', 2)},
-{_r(f'SUM(y * y / 1e6) OVER ({_W} ROWS UNBOUNDED PRECEDING)', 'energy', 2)}, COUNT(*) FILTER (y <> 0) OVER ({_W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS nonzero, {_r('CASE WHEN i > 3 THEN COVAR_POP(y, p) OVER ww / NULLIF(STDDEV_POP(CASE WHEN p IS NOT NULL THEN y END) OVER ww * STDDEV_POP(p) OVER ww, 0) END', 'autocorrelation', 2)} FROM l WINDOW ww AS ({_W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
-    2,
+    f"""{_F}, l AS (SELECT *, LAG(y) OVER ({_W}) AS p, ROW_NUMBER() OVER ({_W}) AS i FROM f) SELECT series_id, ds, {_r(f'AVG(y) OVER ({_W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) - AVG(y) OVER ({_W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)', 'macd', 6)},
+{_r(f'SUM(y * y / 1e6) OVER ({_W} ROWS UNBOUNDED PRECEDING)', 'energy', 6)}, COUNT(*) FILTER (y <> 0) OVER ({_W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS nonzero, {_r('CASE WHEN i > 3 THEN COVAR_POP(y, p) OVER ww / NULLIF(STDDEV_POP(CASE WHEN p IS NOT NULL THEN y END) OVER ww * STDDEV_POP(p) OVER ww, 0) END', 'autocorrelation', 6)} FROM l WINDOW ww AS ({_W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
+    6,
 )
 
 
