@@ -60,8 +60,7 @@ def growth(step: Column, horizon: int, final: float) -> Column:
 
 def decay(back: Column, span: float | None = None, halflife: float | None = None) -> Column:
     """Weight of a row that is `back` rows old."""
-    keep = 1 - 2 / (span + 1) if span else 0.5 ** (1 / halflife)
-    return F.pow(F.lit(keep), back)
+    return F.pow(F.lit(1 - 2 / (span + 1)), back) if span else F.pow(F.lit(0.5), back / halflife)
 
 
 def model_id(model: Column, params: Column, transforms: Column) -> Column:
