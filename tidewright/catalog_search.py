@@ -106,6 +106,7 @@ _register("templates_untried", lambda s, d: joins.untried(_tem(s, d), _tem(s, d)
 _register("templates_in_both", lambda s, d: joins.in_both(_runs(s, d).where("split = 0"), _runs(s, d).where("split = 2"), ["id"]), f"WITH {_RUNS} SELECT id FROM runs WHERE split = 0 INTERSECT SELECT id FROM runs WHERE split = 2")
 _register("templates_random", lambda s, d: search.template(s, search.random_rows(12, seed=3)))
 _register("templates_bred", lambda s, d: search.template(s, search.bred(search.random_rows(4, seed=3), 8, seed=5)))
+_register("search_forecast", lambda s, d: search.Search(HORIZON, population=3, names=["SeasonalNaive", "LastValueNaive"], seed=1).fit(_filled(s, d)).predict().select("series_id", "step", "forecast", "lower", "upper"))
 # Ensembles
 def _models(s, d):
     train, test = _split(s, d)

@@ -380,18 +380,21 @@ def predict(panel: DataFrame, horizon: int, model: str, **params) -> DataFrame:
     return fit_predict(panel, horizon, model, **params).where("exception IS NULL").drop("exception")
 
 
-def model_forecast(panel: DataFrame, horizon: int, model: str, params: dict | None = None, transforms: dict | None = None, no_negatives: bool = False, constraint: dict | None = None, step: str = "1 day") -> DataFrame:
+def model_forecast(panel: DataFrame, horizon: int, model: str, params: dict | None = None, transforms: dict | None = None, no_negatives: bool = False, constraint: dict | None = None, step: str = "1 day", cut=None) -> DataFrame:
     """One model behind a pipeline of transformations: fill and transform, fit, forecast, invert,
     then without negatives and within a constraint, if asked. series_id, step, ds and the bounds.
 
-    The three values of a step are inverted as three panels, the point first.
+    The three values of a step are inverted as three panels, the point first. cut: what the tables
+    between the steps go through, to be written instead of computed by each reader.
     """
     from .risk import constrain
     from .transforms import Pipeline
 
+    cut = cut or (lambda df: df)
     pipe = Pipeline.of(transforms or {})
+    pipe.cut = cut
     made = pipe.fit_apply(panel)
-    raw = predict(made, horizon, model, **(params or {}))
+    raw = cut(predict(made, horizon, model, **(params or {})))
     last = panel.groupBy("series_id").agg(F.max("ds").alias("_last"))
     dated = raw.join(last, "series_id").withColumn("ds", F.expr(f"_last + step * INTERVAL {step}").cast(dict(panel.dtypes)["ds"]))
     out = dated.select("series_id", "ds", "step")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import joins, metrics, models
 from .ensembles import top_per_group
+from .lineage import cut
 
 # Validation splits
 
@@ -123,26 +126,36 @@ def bred(best: list[tuple], n: int, seed: int = 0) -> list[tuple]:
 # Running and scoring
 
 
+#: Templates that run at a time.
+AT_ONCE = 4
+
+
 def run(panel: DataFrame, templates: list[tuple], splits: DataFrame, horizon: int, which: list[int]) -> DataFrame:
     """Metrics of each template on each split and series: id, model, split, series_id, exception and
-    the metrics. A template is one lazy plan a split; what fails leaves a row with its exception."""
+    the metrics. Splits, the steps of a pipeline, forecasts and metrics are written one after
+    another, some templates at a time; what fails leaves a row with its exception."""
     from ..functions.scalar import model_id
     from .impute import S
 
-    spark, out = panel.sparkSession, None
+    spark = panel.sparkSession
+
+    def one(job) -> DataFrame:
+        s, train, test, (m, p, t, e) = job
+        said = (F.lit(m), F.lit(json.dumps(p, sort_keys=True)), F.lit(json.dumps(t, sort_keys=True)))
+        key = [model_id(*said).alias("id"), said[0].alias("model"), said[1].alias("params"), said[2].alias("transforms"), F.lit(e).alias("ensemble"), F.lit(s).alias("split")]
+        try:
+            made = cut(models.model_forecast(train, horizon, m, p, t, cut=cut).select("series_id", "step", "forecast", "lower", "upper"))
+            return cut(metrics.evaluate(made, test, train).select(*key, "series_id", F.lit(None).cast("string").alias("exception"), *metrics.NAMES))
+        except Exception as err:  # a template that cannot be planned or run
+            return spark.range(1).select(*key, F.lit(None).cast("string").alias("series_id"), F.lit(str(err)[:300]).alias("exception"), *[F.lit(None).cast("double").alias(c) for c in metrics.NAMES])
+
+    todo = []
     for s in which:
-        train = joins.on_dates(panel, splits, s, "train")
-        test = joins.on_dates(panel, splits, s, "test").withColumn("step", F.row_number().over(S().orderBy("ds")))
-        for m, p, t, e in templates:
-            said = (F.lit(m), F.lit(json.dumps(p, sort_keys=True)), F.lit(json.dumps(t, sort_keys=True)))
-            key = [model_id(*said).alias("id"), said[0].alias("model"), said[1].alias("params"), said[2].alias("transforms"), F.lit(e).alias("ensemble"), F.lit(s).alias("split")]
-            try:
-                made = models.model_forecast(train, horizon, m, p, t)
-                rows = metrics.evaluate(made.select("series_id", "step", "forecast", "lower", "upper"), test, train).select(*key, "series_id", F.lit(None).cast("string").alias("exception"), *metrics.NAMES)
-            except Exception as err:  # a template that cannot be planned
-                rows = spark.range(1).select(*key, F.lit(None).cast("string").alias("series_id"), F.lit(str(err)[:300]).alias("exception"), *[F.lit(None).cast("double").alias(c) for c in metrics.NAMES])
-            out = rows if out is None else out.unionByName(rows)
-    return out
+        train = cut(joins.on_dates(panel, splits, s, "train"))
+        test = cut(joins.on_dates(panel, splits, s, "test").withColumn("step", F.row_number().over(S().orderBy("ds"))))
+        todo += [(s, train, test, t) for t in templates]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, todo))
 
 
 KEY = ("id", "model")
@@ -246,7 +259,7 @@ class Search:
         self.weights = weights or {"smape": 5.0, "mae": 2.0, "rmse": 2.0, "spl": 3.0, "containment": 0.1}
 
     def fit(self, panel: DataFrame) -> Search:
-        """Every round is one union of plans, collected as its few rows of metrics by template."""
+        """Every round's metrics are written tables, templates times series; one row a template is collected."""
         splits = split_table(panel, self.method, self.horizon, self.validations)
         known: dict[str, tuple] = {}
         rows = random_rows(self.population, self.names, seed=self.seed)
@@ -258,7 +271,6 @@ class Search:
             known |= new
             if new:
                 got = run(panel, list(new.values()), splits, self.horizon, [0])
-                got = panel.sparkSession.createDataFrame(got.collect(), got.schema)  # templates times series
                 found = got if found is None else found.unionByName(got)
             ranked = score(over_validations(found, measured), self.weights).orderBy("score").collect()
             rows = bred([known[r.id] for r in ranked[:3]], self.population, self.seed + g + 1) if ranked else rows
@@ -266,9 +278,12 @@ class Search:
         keep = [r.id for r in for_validation(score(over_validations(found, measured), self.weights), per_series(found, self.weights, 1)).collect()]
         if self.validations:
             got = run(panel, [known[i] for i in keep], splits, self.horizon, list(range(1, self.validations + 1)))
-            self.results = found.unionByName(panel.sparkSession.createDataFrame(got.collect(), got.schema))
+            self.results = found.unionByName(got)
         summary = score(over_validations(self.results.where(F.col("id").isin(keep)), measured), self.weights).withColumn("ensemble", F.lit(0))
-        self.chosen = known[best(summary, self.validations + 1).first()["id"]]
+        chosen = best(summary, self.validations + 1).first()
+        if chosen is None:
+            raise ValueError("no template ran in all validations")
+        self.chosen = known[chosen["id"]]
         self.panel = panel
         return self
 

@@ -370,11 +370,13 @@ class Pipeline:
     """Filling, then transformers one after another; the inverse goes through them backwards.
 
     steps: (name, parameters); `fitted` holds each one's parameters after `fit_apply`. Numbered
-    steps of a JSON pipeline are put in the order of their numbers.
+    steps of a JSON pipeline are put in the order of their numbers. `cut` is given what each step
+    makes; one that writes tables keeps a step from being computed anew by all that follow.
     """
 
     steps: list[tuple[str, dict]]
     fill: str | None = "ffill"
+    cut: Callable[[DataFrame], DataFrame] = lambda df: df
 
     @classmethod
     def of(cls, said: dict) -> Pipeline:
@@ -384,12 +386,13 @@ class Pipeline:
 
     def fit_apply(self, panel: DataFrame) -> DataFrame:
         self.fitted = []
-        out = impute(panel, self.fill) if self.fill else panel
+        out = self.cut(impute(panel, self.fill)) if self.fill else panel
         for name, params in self.steps:
             t = transformer(name, **params)
             found = t.fit(out)
+            found = self.cut(found) if isinstance(found, DataFrame) else found
             self.fitted.append((t, found))
-            out = t.apply(out, found)
+            out = self.cut(t.apply(out, found))
         return out
 
     def invert(self, values: DataFrame, mode: str = "forecast") -> DataFrame:
