@@ -291,6 +291,33 @@ def test_near_duplicates_with_a_repeated_sentence(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == list(range(0, 80, 2))
 
 
+def test_near_duplicates_by_fingerprints_alone(spark):
+    """Without band keys SimHash groups still bring their texts together, all of them, and the
+    exact comparison decides: 20 pairs, a crowd of 12, and texts of one fingerprint unlike in their sets."""
+    texts = []
+    for i in range(20):
+        base = [f"a{i}.{j}" for j in range(600)]
+        texts += [" ".join(base), " ".join([*base, "end"])]
+    base = [f"b{j}" for j in range(900)]
+    texts += [" ".join([*base, f"end{i}"]) for i in range(12)]
+    texts += [" ".join([*(f"c{i}.{j}" for j in range(40)), *["x y z"] * 400]) for i in range(12)]
+    assert len({simhash.fingerprint(t.encode()) for t in texts[-12:]}) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "u long, text string")
+    traits = simhash._traits(docs.select(docs.u.alias("_id"), simhash.F.xxhash64("text").alias("_th"), "text"), 5)
+    assert [r.fp & (1 << 64) - 1 for r in traits.sort("_id").collect()] == [brute_print(t) for t in texts]
+    bare = traits.select(traits._id.alias("u"), "fp", "size", simhash.F.array().cast("array<long>").alias("keys"))
+    found = {r.node: r.root for r in simhash.components(simhash.similar_links(bare, docs)).collect()}
+    prints = brute_components(range(len(texts)), [brute_print(t) for t in texts])
+    groups = [g for g in brute_similar(texts) if len(g) > 1]
+    assert [sorted(g) for g in groups if len({prints[i] for i in g}) == 1]
+    expect = {}
+    for g in groups:
+        for same in {prints[i] for i in g}:
+            members = [i for i in g if prints[i] == same]
+            expect |= {i: members[0] for i in members if len(members) > 1}
+    assert found == expect and sum(v == 40 for v in found.values()) > simhash.SMALL
+
+
 def test_blocks_share_what_sets_share():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 300, int(rng.integers(1, 120))).astype(np.uint64)) for _ in range(30)]

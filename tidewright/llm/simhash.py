@@ -220,21 +220,31 @@ def band_keys(h: np.ndarray) -> list[int]:
 
 
 def _traits(docs: DataFrame, width: int) -> DataFrame:
-    """_id, _th, `same` (a digest of the word sequence), size (of the shingle set) and keys of every row."""
+    """_id, _th, `same` (a digest of the word sequence), fp (the fingerprint of op2), size (of the
+    shingle set) and keys of every row."""
 
     def run(batches):
         for batch in batches:
-            same, sizes, keys = [], [], []
+            same, fps, sizes, keys = [], [], [], []
             for t in batch.column("text").cast(pa.binary()).to_pylist():
                 words = fold(t)
                 h = np.unique(shingles(words, width))
                 same.append(xxhash.xxh3_128_digest(b" ".join(words), SEED))
+                fps.append(_signed(majority(shingles(words, 3))))
                 sizes.append(len(h))
                 keys.append(band_keys(h))
-            cols = [batch.column("_id"), batch.column("_th"), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["_id", "_th", "same", "size", "keys"])
+            cols = [batch.column("_id"), batch.column("_th"), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["_id", "_th", "same", "fp", "size", "keys"])
 
-    return docs.transform(in_arrow, run, f"_id {dict(docs.dtypes)['_id']}, _th long, same binary, size long, keys array<long>")
+    return docs.transform(in_arrow, run, f"_id {dict(docs.dtypes)['_id']}, _th long, same binary, fp long, size long, keys array<long>")
+
+
+def _by_prints(texts: DataFrame, radius: int = 2) -> DataFrame:
+    """(u, size, k): the SimHash group of every text as its key, the component of the links that
+    `near_links` finds by pivots. Keys of one text are left in."""
+    prints = materialize(texts.select("fp").distinct(), "near-prints")
+    found = components(near_links(prints, radius))
+    return texts.join(found, F.col("fp") == F.col("node"), "left").select("u", "size", F.coalesce("root", "fp").alias("k"))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
@@ -349,13 +359,15 @@ def _by_blocks(crowd: DataFrame, found: DataFrame, docs: DataFrame, width: int,
 def similar_links(texts: DataFrame, docs: DataFrame, width: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """Links (a, b) of near-duplicates among distinct texts.
 
-    texts: u (what names a text and orders it), size, keys; docs: u, text. Texts that share a band
-    key meet; pairs of which one's shingle set is too small for the other's are discarded, and the
-    sets of the rest are compared. A key of more than `SMALL` texts has its texts compared with the
-    first of them, which connects most of a group of near copies; what is not connected by then
-    is compared by `_by_blocks`, so that every pair of a key is connected or compared.
+    texts: u (what names a text and orders it), fp, size, keys; docs: u, text. Texts that share a
+    key meet: their SimHash group (`_by_prints`) is one, and as fingerprints of texts at 0.8 differ
+    in more bits than such a group spans, band keys are the others. Pairs of which one's shingle
+    set is too small for the other's are discarded, and the sets of the rest are compared. A key of
+    more than `SMALL` texts has its texts compared with the first of them, which connects most of a
+    group of near copies; what is not connected by then is compared by `_by_blocks`, so that every
+    pair of a key is connected or compared.
     """
-    held = texts.select("u", "size", F.explode("keys").alias("k"))
+    held = texts.select("u", "size", F.explode("keys").alias("k")).union(_by_prints(texts))
     several = held.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     held = materialize(held.join(several, "k"), "near-keys")
     first = held.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("u", "size")).alias("first"))
@@ -386,7 +398,7 @@ def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, width: int =
     slim = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("text"))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("_id"), F.col("_th").alias("_th"))
     traits = materialize(_traits(slim, width), "near-traits")
-    texts = materialize(traits.groupBy("same").agg(F.min(order).alias("u"), F.first("size").alias("size"), F.first("keys").alias("keys")).drop("same"), "near-texts")
+    texts = materialize(traits.groupBy("same").agg(F.min(order).alias("u"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")).drop("same"), "near-texts")
     found = components(similar_links(texts, slim.select(order.alias("u"), "text"), width, similar))
     gone = found.where("node <> root").select(F.col("node").alias("u"))
     keep = materialize(texts.select("u").join(gone, "u", "left_anti").select(F.col("u._id").alias("__tw_id"), F.col("u._th").alias("__tw_th")), "near-kept")
