@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tests.conftest import SF
+from tests.conftest import SF, SF01
 from tidewright import catalog
 
 
@@ -42,3 +42,11 @@ def test_query(spark, con, name):
     assert len(got) == len(expect) and len(got) > 0
     bad = [(a, b) for a, b in zip(got, expect) if not all(close(x, y) for x, y in zip(a, b))]
     assert not bad, bad[:3]
+
+
+def test_companding_round_trip_to_the_last_digit(spark):
+    """Balances on rounding borders too: equal, not close."""
+    df = catalog.queries()["scalar_companding_round_trip"](spark, SF01)
+    expect = duckdb.sql(catalog.oracle_sql()["scalar_companding_round_trip"].replace("customer", f"'{SF01}/customer.parquet'")).fetchall()
+    got = [tuple(r) for r in df.collect()]
+    assert df.columns == ["c_custkey", "mu", "a"] and len(got) == len(expect) and sorted(got) == sorted(expect)
