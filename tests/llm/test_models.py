@@ -14,6 +14,7 @@ import pytest
 from tests.conftest import SF01
 from tests.llm.fixtures import documents, write
 from tidewright.llm import html, pst
+from tidewright.llm.common import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -139,6 +140,65 @@ def test_contexts_grow_with_the_input(spark):
     assert whole > 2 * some > 0
 
 
+def shuffled(spark, body):
+    """Bytes of shuffle that body's stages write."""
+    sc = spark.sparkContext
+    none = (sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, *none)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    body()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_keys_and_pairs_travel_packed(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").repartition(4, "doc_id")
+    run = lambda df: shuffled(spark, lambda: df.write.format("noop").mode("overwrite").save())
+    key = "spark.sql.autoBroadcastJoinThreshold"  # tables that grow are not broadcast
+    spark.conf.set(key, "-1")
+    try:
+        model = pst.learn(docs, p_head=1e-3, min_count=3)
+        tree = model.tree
+        encoded = materialize(pst.encode(docs, model.words, "doc_id", "text"), "pst-encoded")
+        every = np.full(1 << 13, 255, np.uint8)  # a filter that lets every rare word pass
+        pairs = run(pst._count_pairs(encoded, spark.sparkContext.broadcast(tree), every, tree.total, 3))
+        scores = run(pst.score(docs, model))
+    finally:
+        spark.conf.unset(key)
+    # Bytes a token: 11.2 and 18.2 when pairs had both words as names and each key was a row; 8.4 and 10.2 now.
+    assert pairs < 10 * tree.total and scores < 14 * tree.total, (pairs / tree.total, scores / tree.total)
+
+
+@pytest.mark.parametrize("held_keys, held_texts", [(50, 1000), (1 << 30, 7)])
+def test_chunks_and_buckets_change_no_score(spark, walks, monkeypatch, held_keys, held_texts):
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(walks)], "doc_id string, text string")
+    more = docs.union(spark.createDataFrame([(None, "a b unknown c r1 s1 a"), ("", None), ("d0", "r5 s0 r5 s0 r5")], docs.schema)).repartition(2)
+    scores = lambda: sorted((r["_id"] or "", r.n_tokens, r.n_known, round(r.base_score, 8), round(r.score, 8)) for r in pst.score(more, pst.learn(docs, p_head=0.01, min_count=3)).collect())
+    expect = scores()
+    monkeypatch.setattr(pst, "HELD_KEYS", held_keys)
+    monkeypatch.setattr(pst, "HELD_TEXTS", held_texts)
+    monkeypatch.setattr(pst, "BUCKET_TOKENS", 200)
+    assert scores() == expect and len(expect) == 303
+
+
+def test_packed_longs_come_back():
+    rng = np.random.default_rng(6)
+    x = np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, 500))
+    assert (np.cumsum(pst._loose(pst._tight(pst._steps(x)), len(x))) == x).all()
+    a, s = rng.integers(-5, 5, 400), rng.integers(-5, 5, 400)
+    keys = pst._keys(a, s, 5)
+    assert all(k == x * 5 + y if x >= 0 and y >= 0 else k == h for k, x, y, h in zip(keys, a, s, pst._pairs(a, s)))
+    order, parts = pst._dealt(keys, 8)
+    slots = pst._slots(keys).view(np.uint64) >> np.uint64(24)
+    assert sorted(order) == list(range(400)) and [b for b, _, _ in parts] == sorted({int(v) % 8 for v in slots})
+    for b, i, j in parts:
+        assert {int(v) % 8 for v in slots[order[i:j]]} == {b} and (np.diff(keys[order[i:j]]) >= 0).all()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">one</a><li><a href=/b>two</a></ul></nav>
 <div class="cookie-notice">We use cookies on this site for all sorts of purposes and you agree</div>

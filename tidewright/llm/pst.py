@@ -21,8 +21,10 @@ END = b""  # the token after a text's words; no word is empty
 #: Least count of a next word that a context has for its own, and so of both words, at any input
 #: size: the tables of contexts grow with the input.
 MIN_COUNT = 30
-#: Training tokens of a bucket of word pairs, and the most buckets there are.
+#: Training tokens of a bucket of word pairs or of keys, and the most buckets there are.
 BUCKET_TOKENS, BUCKETS = 4_000_000, 1_000_000
+#: Keys, or else texts, after which a task that scores sends what it holds.
+HELD_KEYS, HELD_TEXTS = 1_500_000, 100_000
 #: Least share of the training tokens of what is broadcast: words, which make the alphabet, and
 #: next words in their contexts. For words and contexts of one word it is a cache and changes no
 #: result; contexts of more words have this share, or `MIN_COUNT` if that is more.
@@ -101,6 +103,49 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(">i8").reshape(-1).astype(np.int64)
 
 
+def _tight(x: np.ndarray) -> bytes:
+    """Longs, packed and compressed."""
+    return pa.compress(_packed(x), codec="zstd", asbytes=True)
+
+
+def _loose(x: bytes, n: int) -> np.ndarray:
+    """The n longs of `_tight`."""
+    return _unpacked(pa.decompress(x, 8 * n, codec="zstd", asbytes=True))
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """What each of the sorted longs adds to the one before it; their running sums are the longs."""
+    return np.diff(x, prepend=np.int64(0))
+
+
+def _keys(a: np.ndarray, s: np.ndarray, width: int) -> np.ndarray:
+    """Keys of contexts and next words in the table: small codes where both have places, which
+    travel in few bytes when sorted, and hashes of other pairs."""
+    out, other = a * width + s, (a < 0) | (s < 0)
+    out[other] = _pairs(a[other], s[other])
+    return out
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """Hashes of keys, for the filter."""
+    return _mix(keys).view(np.int64)
+
+
+def _buckets(total: int) -> int:
+    return max(8, min(total // BUCKET_TOKENS, BUCKETS))
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of keys by their buckets and then by themselves, and each bucket with its first
+    place and its end there."""
+    order = np.argsort(keys, kind="stable")
+    bucket = ((_mix(keys[order]) >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    again = np.argsort(bucket, kind="stable")
+    bucket = bucket[again]
+    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    return order[again], list(zip(bucket[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(keys)]))
+
+
 @dataclass
 class Level:
     """Contexts of one length over the alphabet. `keys` are suffix context * width + word before
@@ -181,24 +226,22 @@ def _chunks(column, words: int = 500_000):
 
 
 def encode(docs: DataFrame, words: dict[bytes, int], doc_id: str, text: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """row, _id and ids (packed longs: a word's place, or its name if it has none) of every text:
-    the one pass that reads words."""
+    """_id and ids (packed longs: a word's place, or its name if it has none) of every text: the one
+    pass that reads words."""
     shipped = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
-        get, task, row = shipped.value.get, TaskContext.get().partitionId() << 36, 0
+        get = shipped.value.get
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             ids = []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
                 w = tokens(t)
                 ids.append(np.fromiter([~(digest(x, 42) >> 1) if (i := get(x)) is None else i for x in w], "<i8", len(w)).tobytes())
-            cols = [pa.array(np.arange(len(ids), dtype=np.int64) + row + task), batch.column(0), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[2:]], names=["row", "_id", "ids", *extra])
-            row += len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), *batch.columns[2:]], names=["_id", "ids", *extra])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"row long, _id {kinds[doc_id]}, ids binary", *[f"{c} {kinds[c]}" for c in extra]])
+    schema = ", ".join([f"_id {kinds[doc_id]}, ids binary", *[f"{c} {kinds[c]}" for c in extra]])
     return docs.select(F.col(doc_id).alias("_id"), text, *extra).transform(in_arrow, run, schema)
 
 
@@ -206,11 +249,12 @@ def _count_pairs(encoded: DataFrame, tree_at, known: np.ndarray, total: int, min
     """(a, s, n, q): each word and its next one that are together `min_count` times or more, how
     often they are, and the share of the next word (null for words without a place).
 
-    Most pairs are rare, so they travel packed: a task sorts its pairs and leaves one row a bucket
-    of their keys, and a bucket's rows are merged into its counts. `known` is the filter of rare
-    words that are frequent enough themselves.
+    Most pairs are rare, so they travel packed: a task sorts its pairs and leaves one row a bucket,
+    and a bucket's rows are merged into its counts. Pairs of words with places are codes, dealt by
+    these; others are dealt by a name, so that a task sends a name once for all its pairs. `known`
+    is the filter of rare words that are frequent enough themselves.
     """
-    buckets = max(8, min(total // BUCKET_TOKENS, BUCKETS))
+    buckets = _buckets(total)
     filter_at = encoded.sparkSession.sparkContext.broadcast(known)
 
     def merged(held):
@@ -219,16 +263,17 @@ def _count_pairs(encoded: DataFrame, tree_at, known: np.ndarray, total: int, min
         return a[at], s[at], np.bincount(back, weights=n).astype(np.int64)
 
     def send(batches):
-        bits, held, size = filter_at.value, [], 0
+        bits, width, held, size = filter_at.value, tree_at.value.width, [], 0
 
         def out(a, s, n):
-            bucket = (_pairs(a, s).view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)
-            order = np.lexsort((s, a, bucket))
-            a, s, n, bucket = a[order], s[order], n[order], bucket[order]
-            cut = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
-            parts = list(zip(cut.tolist(), [*cut[1:].tolist(), len(a)]))
-            cols = [pa.array(bucket[cut].astype(np.int64))] + [pa.array([_packed(x[i:j]) for i, j in parts], pa.binary()) for x in (a, s, n)]
-            return pa.RecordBatch.from_arrays(cols, names=["bucket", "a", "s", "n"])
+            # A pair's first part is its code, or else a name, and its other word the second part;
+            # side tells codes (0), names before (1) and behind their other words (2) apart.
+            side = np.where(a < 0, 1, np.where(s < 0, 2, 0)).astype(np.int8)
+            x, y = np.where(side == 0, a * width + s, np.where(side == 1, a, s)), np.where(side == 0, 0, np.where(side == 1, s, a))
+            order, parts = _dealt(x, buckets)
+            x, y, side, n = x[order], y[order], side[order], n[order]
+            packed = [pa.array([_tight(f(v[i:j])) for _, i, j in parts], pa.binary()) for f, v in ((_steps, x), (np.asarray, y), (np.asarray, side), (np.asarray, n))]
+            return pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in zip(*((b, j - i) for b, i, j in parts))), *packed], names=["bucket", "m", "x", "y", "side", "n"])
 
         for batch in batches:
             for _, ids, first in _chunks(batch.column(0)):
@@ -262,16 +307,18 @@ def _count_pairs(encoded: DataFrame, tree_at, known: np.ndarray, total: int, min
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(n), q], names=["a", "s", "n", "q"])
 
         for batch in batches:
-            for bucket, *packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "a", "s", "n"))):
+            for bucket, m, *packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "m", "x", "y", "side", "n"))):
                 if bucket != now and held:
                     yield out()
                     held = []
                 now = bucket
-                held.append([_unpacked(x) for x in packed])
+                x, y, side, n = (_loose(v, m) for v in packed)
+                x = np.cumsum(x)
+                held.append((np.where(side == 0, x // tree.width, np.where(side == 1, x, y)), np.where(side == 0, x % tree.width, np.where(side == 1, y, x)), n))
         if held:
             yield out()
 
-    sent = encoded.select("ids").transform(in_arrow, send, "bucket long, a binary, s binary, n binary")
+    sent = encoded.select("ids").transform(in_arrow, send, "bucket long, m long, x binary, y binary, side binary, n binary")
     return sent.repartition("bucket").sortWithinPartitions("bucket").transform(in_arrow, receive, "a long, s long, n long, q double")
 
 
@@ -345,7 +392,7 @@ def _deeper(tree: Tree, context: np.ndarray, symbol: np.ndarray) -> bool:
 def _first_level(tree: Tree, pairs: DataFrame, named: DataFrame, price: float, least: float) -> DataFrame:
     """Contexts of one word, of all words: kept ones and their next words as (h, delta).
 
-    h is the key of a context and a next word, or of a context alone that is not in the alphabet; delta is what the longest suffix's log10 probability changes by there: the weight of
+    h is the key of a context and a next word (`_keys`), or of a context alone that is not in the alphabet; delta is what the longest suffix's log10 probability changes by there: the weight of
     the unlisted words for a context, and on top of it the word's own probability. Frequent
     contexts and next words become the first level of the broadcast tree instead.
     """
@@ -369,12 +416,13 @@ def _first_level(tree: Tree, pairs: DataFrame, named: DataFrame, price: float, l
     level.codes, level.logs = np.array([x[0] for x in head], np.int64), np.array([x[1] for x in head], np.float64)
     tree.levels.append(level)
     none = [F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base")]
-    entries = listed.where(F.col("n") < least).select(F.xxhash64("a", "s").alias("h"), *none, (F.col("log") - F.log10("q") - F.col("back")).alias("logs"))
+    pair = F.when((F.col("a") >= 0) & (F.col("s") >= 0), F.col("a") * tree.width + F.col("s")).otherwise(F.xxhash64("a", "s"))
+    entries = listed.where(F.col("n") < least).select(pair.alias("h"), *none, (F.col("log") - F.log10("q") - F.col("back")).alias("logs"))
     outside = kept.where(~common).select(F.xxhash64("a").alias("h"), *none, F.col("back").alias("logs"))
     more = F.log10(F.col("c") + 1.0)
     known = named.where("id < 0").select(F.col("id").alias("h"), F.lit(1).cast("long").alias("known"), more.alias("base"), more.alias("logs"))
     fixes = materialize(entries.union(outside).union(known), "pst-fixes")
-    tree.passing = bit_filter(fixes, "h")
+    tree.passing = bit_filter(fixes.select(F.xxhash64("h").alias("h")), "h")
     return fixes
 
 
@@ -451,13 +499,38 @@ def _learn(encoded: DataFrame, tree: Tree, words: dict[bytes, int], counts: Data
 
 
 def _score(encoded: DataFrame, tree: Tree, fixes: DataFrame) -> DataFrame:
+    """_id, n_tokens, n_known, base_score and score of encoded texts.
+
+    Keys travel packed: a task holds the keys of many texts (a chunk) and leaves one row a bucket
+    of them, with each key once and the texts it is from. A bucket's table settles its rows, and
+    leaves sums for the texts of a chunk, which meet them by the chunk.
+    """
     shipped = encoded.sparkSession.sparkContext.broadcast(tree)
+    buckets = _buckets(tree.total)
 
     def run(batches):
         tree = shipped.value
         bits, width = tree.passing, tree.width
         first_level, deeper = tree.levels[0], tree.levels[1:]
+        chunk, texts, size, held = TaskContext.get().partitionId() << 36, 0, 0, []
+
+        def out(kind):
+            keys, owner = (np.concatenate(x) for x in zip(*held))
+            order, parts = _dealt(keys, buckets)
+            keys, owner = keys[order], owner[order]
+            bucket, m, packed = [], [], []
+            for b, i, j in parts:
+                k = keys[i:j]
+                begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+                bucket.append(b)
+                m.append(len(begin))
+                packed.append([_tight(x) for x in (_steps(k[begin]), np.diff(np.append(begin, j - i)), owner[i:j])])
+            n, none = len(parts), np.zeros(len(parts), np.int64)
+            cols = [np.full(n, chunk), bucket, none, pa.nulls(n, kind), none, none, none * 0.0, none * 0.0, m]
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols] + [pa.array(x, pa.binary()) for x in zip(*packed)], names=names)
+
         for batch in batches:
+            kind = batch.column("_id").type
             for begin, ids, first in _chunks(batch.column("ids")):
                 frequent = ids >= 0
                 symbols = np.maximum(ids, -1)
@@ -481,28 +554,112 @@ def _score(encoded: DataFrame, tree: Tree, fixes: DataFrame) -> DataFrame:
                 # What is not settled by the broadcast tree meets the table by its keys.
                 open_ = np.flatnonzero(~listed & (kept | ~inside))
                 a = _before(ids, first)[open_]
-                h = _pairs(a, ids[open_])
-                pair, alone = _passing(bits, h), ~inside[open_]
-                a = _mix(a).view(np.int64)
-                alone[alone] = _passing(bits, a[alone])
+                h = _keys(a, ids[open_], width)
+                pair, alone = _passing(bits, _slots(h)), np.flatnonzero(~inside[open_])
+                a = _slots(a[alone])
+                some = _passing(bits, _slots(a))
                 rare = np.flatnonzero(~frequent)
-                rare = rare[_passing(bits, ids[rare])]
-                keys, owner = np.concatenate((h[pair], a[alone], ids[rare])), np.concatenate((open_[pair], open_[alone], rare))
-                text = np.searchsorted(first, owner, side="right") - 1
-                order = np.argsort(text, kind="stable")
-                ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(first)))))
+                rare = rare[_passing(bits, _slots(ids[rare]))]
+                keys, owner = np.concatenate((h[pair], a[some], ids[rare])), np.concatenate((open_[pair], open_[alone[some]], rare))
                 sums = [np.add.reduceat(x, first) for x in (frequent.astype(np.int64), base, logs)]
-                lengths = np.diff(np.append(first, len(ids)))
-                part = batch.slice(begin, len(first))
-                cols = [part.column("row"), part.column("_id"), *map(pa.array, (lengths, *sums)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order]))]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "_id", "n_tokens", "known", "base", "logs", "keys"])
+                n = len(first)
+                lengths, none = np.diff(np.append(first, len(ids))), pa.nulls(n, pa.binary())
+                cols = [np.full(n, chunk), np.full(n, -1), np.arange(texts, texts + n), batch.column("_id").slice(begin, n), lengths, *sums, np.zeros(n, np.int64)]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols] + [none] * 3, names=names)
+                if len(keys):
+                    held.append((keys, np.searchsorted(first, owner, side="right") - 1 + texts))
+                texts, size = texts + n, size + len(keys)
+                if size >= HELD_KEYS or texts >= HELD_TEXTS:
+                    if held:
+                        yield out(kind)
+                    chunk, texts, size, held = chunk + 1, 0, 0, []
+        if held:
+            yield out(kind)
+
+    def settle(batches):
+        now, table, ready = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, chunk, h, known, logs = (batch.column(c).to_numpy() for c in ("bucket", "chunk", "h", "known", "logs"))
+            asks = chunk >= 0
+            cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (asks[1:] != asks[:-1])) + 1
+            rows = []
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)]):
+                if bucket[i] != now:
+                    now, table, ready = bucket[i], [], None
+                if not asks[i]:
+                    table.append((h[i:j], known[i:j], logs[i:j]))
+                    continue
+                if ready is None:
+                    if not table:
+                        continue
+                    ready = [np.concatenate(x) for x in zip(*table)]
+                    order = np.argsort(ready[0])
+                    ready = [x[order] for x in ready]
+                for m, *packed in zip(*(batch.column(c).slice(i, j - i).to_pylist() for c in ("m", "keys", "times", "texts"))):
+                    at, there = _found(ready[0], np.cumsum(_loose(packed[0], m)))
+                    times = _loose(packed[1], m)
+                    text = _loose(packed[2], int(times.sum()))[np.repeat(there, times)]
+                    at = np.repeat(at[there], times[there])
+                    word, log = ready[1][at], ready[2][at]
+                    n = np.bincount(text)
+                    some = np.flatnonzero(n)
+                    sums = [np.bincount(text, x)[some] for x in (word, word * log, (1 - word) * log)]
+                    rows.append((chunk[i], now, len(some), *map(_tight, (_steps(some), sums[0].astype(np.int64), *(x.view(np.int64) for x in sums[1:])))))
+                    i += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 3 + [pa.binary()] * 4)], names=["chunk", "bucket", "m", "texts", "known", "base", "logs"])
+
+    def gather(batches):
+        now, held, sums = None, [], None
+
+        def out():
+            texts = pa.Table.from_batches(held)
+            more = sums or [0, 0.0, 0.0]
+            total = [pa.array(texts.column(c).to_numpy() + x) for c, x in zip(("known", "base", "logs"), more)]
+            cols = [texts.column(c).combine_chunks() for c in ("_id", "n_tokens")]
+            return pa.RecordBatch.from_arrays([*cols, *total], names=["_id", "n_tokens", "n_known", "base_score", "score"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chunk, bucket = (batch.column(c).to_numpy() for c in ("chunk", "bucket"))
+            cut = np.flatnonzero(chunk[1:] != chunk[:-1]) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(chunk)]):
+                if chunk[i] != now:
+                    if held:
+                        yield out()
+                    now, held, sums = chunk[i], [], None
+                k = i + int(np.searchsorted(bucket[i:j], 0))  # texts are first
+                if k > i:
+                    held.append(batch.slice(i, k - i).select(["_id", "n_tokens", "known", "base", "logs"]))
+                if k < j and sums is None:
+                    n = sum(x.num_rows for x in held)
+                    sums = [np.zeros(n, np.int64), np.zeros(n), np.zeros(n)]
+                part = batch.slice(k, j - k)
+                for m, *packed in zip(*(part.column(c).to_pylist() for c in ("m", "texts", "more_known", "more_base", "more_logs"))):
+                    text, known, base, logs = (_loose(x, m) for x in packed)
+                    text, base = np.cumsum(text), base.view(np.float64)
+                    sums[0][text] += known
+                    sums[1][text] += base
+                    sums[2][text] += base + logs.view(np.float64)
+        if held:
+            yield out()
 
-    kind = dict(encoded.dtypes)["_id"]
-    seen = materialize(encoded.select("row", "_id", "ids").transform(in_arrow, run, f"row long, _id {kind}, n_tokens long, known long, base double, logs double, keys array<long>"), "pst-scored")
-    found = seen.select("row", F.explode("keys").alias("h")).join(fixes, "h")
-    more = found.groupBy("row").agg(*[F.sum(x).alias(f"more_{x}") for x in ("known", "base", "logs")])
-    total = lambda x: (F.col(x) + F.coalesce(f"more_{x}", F.lit(0).cast(dict(seen.dtypes)[x])))
-    return seen.drop("keys").join(more, "row", "left").select("_id", "n_tokens", total("known").alias("n_known"), total("base").alias("base_score"), total("logs").alias("score"))
+    id_kind = dict(encoded.dtypes)["_id"]
+    names = ["chunk", "bucket", "text", "_id", "n_tokens", "known", "base", "logs", "m", "keys", "times", "texts"]
+    schema = f"chunk long, bucket long, text long, _id {id_kind}, n_tokens long, known long, base double, logs double, m long, keys binary, times binary, texts binary"
+    seen = materialize(encoded.select("_id", "ids").transform(in_arrow, run, schema), "pst-scored")
+    place = F.pmod(F.shiftrightunsigned(F.xxhash64("h"), 24), F.lit(buckets).cast("long"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("binary")
+    entries = fixes.select(place.alias("bucket"), F.lit(-1).cast("long").alias("chunk"), "h", "known", "logs", zero.alias("m"), *[none.alias(c) for c in ("keys", "times", "texts")])
+    asked = seen.where("bucket >= 0").select("bucket", "chunk", zero.alias("h"), zero.alias("known"), F.lit(0.0).alias("logs"), "m", "keys", "times", "texts")
+    settled = entries.union(asked).repartition("bucket").sortWithinPartitions("bucket", "chunk").transform(in_arrow, settle, "chunk long, bucket long, m long, texts binary, known binary, base binary, logs binary")
+    answers = settled.select("chunk", "bucket", zero.alias("text"), F.lit(None).cast(id_kind).alias("_id"), zero.alias("n_tokens"), zero.alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("logs"), "m", "texts", *[F.col(c).alias(f"more_{c}") for c in ("known", "base", "logs")])
+    texts = seen.where("bucket < 0").select("chunk", "bucket", "text", "_id", "n_tokens", "known", "base", "logs", "m", *[none.alias(c) for c in ("texts", "more_known", "more_base", "more_logs")])
+    both = texts.union(answers).repartition("chunk").sortWithinPartitions("chunk", "bucket", "text")
+    return both.transform(in_arrow, gather, f"_id {id_kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 @dataclass
@@ -536,7 +693,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """_id, n_tokens, n_known, base_score and score of every row.
 
     A position's state is the longest kept context before it. What the broadcast part of the tree
-    does not settle leaves a text as keys, which meet the table in one join; so do words outside
+    does not settle leaves a text as keys, which meet the table by their buckets; so do words outside
     the alphabet, for their counts. Null and empty texts are one end token; texts are read in whole; repeated
     rows are scored alike, each for itself; an empty table gives no rows.
     """
